@@ -91,7 +91,8 @@ def drop_scripts(html: Column) -> Column:
 def paragraphs(html: Column) -> Column:
     """trimmed text of every <p> element (tags inside removed)."""
     ps = F.regexp_extract_all(drop_scripts(html), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
-    return F.transform(ps, lambda x: F.trim(unescape_entities(F.regexp_replace(x, TAG, ""))))
+    return F.transform(ps, lambda x: F.regexp_replace(
+        unescape_entities(F.regexp_replace(x, TAG, "")), r"^\s+|\s+$", ""))
 
 
 def base_url(url: Column) -> Column:

@@ -68,3 +68,48 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 def available(spark: SparkSession, d: str) -> DataFrame:
     """Movie ids that have a document (the reference's ids list)."""
     return corpus(spark, d).select("movie_id")
+
+
+# --- text files re-expressed as line tables (source, line_no, value) ----------
+def rating_block_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One rating-block "file" per movie: ``<movie>:`` then ``user,rating,date``
+    lines in event order."""
+    from ..sources.lines import number_lines
+
+    ev = rating_events(spark, d)
+    src = F.concat(F.lit("mv_"), F.col("movie_id").cast("string"), F.lit(".txt"))
+    body = ev.select(src.alias("source"), F.lit(1).alias("k"), *EVENT_ORDER, "user_id",
+                     F.concat_ws(",", F.col("user_id").cast("string"),
+                                 F.col("rating").cast("string"),
+                                 F.date_format("rated_on", "yyyy-MM-dd")).alias("value"))
+    heads = ev.select("movie_id").distinct().select(
+        src.alias("source"), F.lit(0).alias("k"),
+        *[F.lit(None).cast(t).alias(c) for c, t in
+          zip(EVENT_ORDER + ["user_id"],
+              ["timestamp_ntz", "bigint", "int", "bigint", "double", "double", "bigint"])],
+        F.concat(F.col("movie_id").cast("string"), F.lit(":")).alias("value"))
+    rows = heads.unionByName(body)
+    return number_lines(rows, ["k", *EVENT_ORDER, "user_id", "value"]).select(
+        "source", "line_no", "value")
+
+
+def match_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The id-match file: ``imdb_id,netflix_id,year,title`` by netflix id."""
+    from ..sources.lines import number_lines
+
+    m = id_map(spark, d).select(
+        F.lit("match.txt").alias("source"), "netflix_id",
+        F.concat_ws(",", "imdb_id", F.col("netflix_id").cast("string"),
+                    F.col("year").cast("string"), "title").alias("value"))
+    return number_lines(m, ["netflix_id"]).select("source", "line_no", "value")
+
+
+def title_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The title list: ``netflix_id,year,title`` for every part."""
+    from ..sources.lines import number_lines
+
+    p = table(spark, d, "part").select(
+        F.lit("movie_titles.txt").alias("source"), "p_partkey",
+        F.concat_ws(",", F.col("p_partkey").cast("string"),
+                    (F.lit(1970) + F.col("p_size")).cast("string"), "p_name").alias("value"))
+    return number_lines(p, ["p_partkey"]).select("source", "line_no", "value")
