@@ -113,3 +113,25 @@ def title_lines(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws(",", F.col("p_partkey").cast("string"),
                     (F.lit(1970) + F.col("p_size")).cast("string"), "p_name").alias("value"))
     return number_lines(p, ["p_partkey"]).select("source", "line_no", "value")
+
+
+def subtitle_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Subtitle search results: each order is a subtitle set of its customer's
+    "movie"; each line item one file of the set.  Declared CD count
+    ``1 + o_orderkey % 6``; pending orders are in a non-srt format."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    fid = F.concat_ws("-", F.col("o_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return (li.join(o, li.l_orderkey == o.o_orderkey)
+            .select(F.col("o_custkey").cast("string").alias("movie_id"),
+                    F.col("o_orderkey").alias("sub_id"),
+                    fid.alias("file_id"),
+                    F.concat(F.lit("http://dl.example.org/sub/"), fid, F.lit(".gz")).alias("link"),
+                    F.when(F.col("o_orderstatus") == "P", F.lit("sub")).otherwise(F.lit("srt"))
+                    .alias("sub_format"),
+                    (F.lit(1) + F.col("o_orderkey") % 6).cast("int").alias("sum_cd")))
+
+
+def id_list(spark: SparkSession, d: str) -> DataFrame:
+    """An id list with repeats: the order key of every line item."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("imdb_id"))
