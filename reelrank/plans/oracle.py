@@ -222,6 +222,8 @@ JOIN available a ON a.movie_id = regexp_replace(m.imdb_id, '^0+', '')"""
     ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC,
              l_quantity DESC, l_extendedprice DESC) AS rn
   FROM events_r) x WHERE rn = 1"""
+    q["ratings_csv_scan"] = with_(RATINGS) + "SELECT user_id, movie_id, rating FROM ratings"
+    q["incremental_ratings"] = q["ratings_last_wins"]
     q["tfidf_weights"] = with_(*tfidf_ctes()) + """SELECT movie_id, term, tf, df, round(idf, 6) AS idf,
   round(weight, 6) AS weight FROM weights"""
     q["movie_similarity"] = with_(*_base(), *similarity_ctes(25)) + \

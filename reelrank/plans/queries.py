@@ -175,3 +175,40 @@ def q_movie_similarity(spark, d):
 def q_top_k_similar(spark, d):
     n = neighbours_for_test(spark, d, K_MOST_SIMILAR)
     return n.select("movie_id", "neighbour_id", _r6("similarity"), "rank")
+
+
+# --- sources with files ---------------------------------------------------------
+def _scratch(spark, name):
+    import uuid
+
+    from ..session import scratch_table_dir
+    return scratch_table_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def q_ratings_csv_scan(spark, d):
+    """K2 layout written in the model's per-key form, then S2 read back."""
+    from ..sources.lines import read_keyed_ratings
+    path = _scratch(spark, "ratings_by_user")
+    r = fx.ratings(spark, d)
+    (r.select("user_id", F.col("movie_id").cast("string"), "rating")
+     .repartition("user_id").write.partitionBy("user_id").csv(path))
+    back = read_keyed_ratings(spark, path, key_from="dir")
+    return back.select(F.col("user_id").cast("bigint").alias("user_id"),
+                       F.col("movie_id").cast("bigint").alias("movie_id"), "rating")
+
+
+def q_incremental_ratings(spark, d):
+    """Rating events land in two drops (shipped up to 1995, then later);
+    three availableNow runs (drop 1, drop 2, nothing new) give last-wins state."""
+    from ..streaming.incremental import ingest
+    base = _scratch(spark, "incremental")
+    land, state, ckpt = f"{base}/landing", f"{base}/state", f"{base}/checkpoint"
+    ev = fx.rating_events(spark, d).select("user_id", "movie_id", "rating", *fx.EVENT_ORDER)
+    early = F.year("l_shipdate") <= 1995
+    ev.where(early).write.parquet(f"{land}/drop=1")
+    schema = ev.schema
+    ingest(spark, land, state, ckpt, schema, ["user_id", "movie_id"], fx.EVENT_ORDER)
+    ev.where(~early).write.parquet(f"{land}/drop=2")
+    ingest(spark, land, state, ckpt, schema, ["user_id", "movie_id"], fx.EVENT_ORDER)
+    out = ingest(spark, land, state, ckpt, schema, ["user_id", "movie_id"], fx.EVENT_ORDER)
+    return out.select("user_id", "movie_id", "rating")

@@ -121,3 +121,22 @@ def read_documents(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
 def skip_lines(lines: DataFrame, n: int, line_no: str = "line_no") -> DataFrame:
     """Drop the first ``n`` lines of every source (resume / header drop)."""
     return lines.where(F.col(line_no) > n)
+
+
+def read_keyed_ratings(spark: SparkSession, path: str, key: str = "user_id",
+                       other: str = "movie_id", encoding: str = "ISO-8859-1",
+                       key_from: str = "file") -> DataFrame:
+    """Two-column rating files ``other,rating`` whose key is in the path.
+
+    ``key_from='file'`` reads the model's layout (``<key>.txt`` per key);
+    ``'dir'`` reads Hive-style ``<name>=<key>/`` folders.  Blank lines are
+    dropped by the CSV reader; ratings are cast to INT.
+    """
+    df = (spark.read.option("encoding", encoding).option("header", "false")
+          .option("recursiveFileLookup", "true")
+          .schema(f"{other} string, rating int").csv(path))
+    if key_from == "file":
+        k = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    else:
+        k = F.regexp_extract(F.col("_metadata.file_path"), r"/[^/=]+=([^/]+)/[^/]*$", 1)
+    return df.select(k.alias(key), other, "rating").where(F.col(other).isNotNull())
