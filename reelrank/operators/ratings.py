@@ -23,6 +23,9 @@ joined on user id, and the partner's rating is fetched with an equi-join on
 the unique key (user, movie).  Work is bounded by
 ``sum over pairs of min(deg u, deg v)``, the cost of an exact sparse
 intersection.  Aggregations are partial (map-side) before their shuffle.
+When the ratings table is under the broadcast bound (counted, see
+:mod:`joins`) both lookups are broadcast hash joins and the walked rows are
+never shuffled; above it they are shuffle joins.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import fits_broadcast, hint, materialize
+
 
 def user_avg(ratings: DataFrame) -> DataFrame:
     """A1: mean of all ratings of each user (target included, as the model does).
@@ -76,10 +81,12 @@ def pair_stats(ratings: DataFrame, pairs: DataFrame,
     Returns (user_id, corater_id, n, s_u, s_v, s_uv, s_uu, s_vv), all BIGINT.
     Pairs without a co-rated movie get no row (callers treat that as n = 0).
     """
+    ratings = ratings.select("user_id", "movie_id", "rating")
+    small = fits_broadcast(ratings)   # proven bound -> lookups become map-side
     deg = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("deg"))
     p = pairs.select(F.col(u).alias("u"), F.col(v).alias("v")).distinct()
-    p = (p.join(deg.select(F.col("user_id").alias("u"), F.col("deg").alias("du")), "u")
-          .join(deg.select(F.col("user_id").alias("v"), F.col("deg").alias("dv")), "v"))
+    p = (p.join(hint(deg.select(F.col("user_id").alias("u"), F.col("deg").alias("du")), small), "u")
+          .join(hint(deg.select(F.col("user_id").alias("v"), F.col("deg").alias("dv")), small), "v"))
     # Walk the ratings of the lighter user; look up the other by unique key.
     flip = (F.col("dv") < F.col("du")) | ((F.col("dv") == F.col("du")) & (F.col("v") < F.col("u")))
     p = p.select("u", "v",
@@ -90,7 +97,7 @@ def pair_stats(ratings: DataFrame, pairs: DataFrame,
                         F.col("rating").cast("bigint").alias("r_walk"))
     rp = ratings.select(F.col("user_id").alias("probe"), "movie_id",
                         F.col("rating").cast("bigint").alias("r_probe"))
-    m = p.join(rw, "walk").join(rp, ["probe", "movie_id"])
+    m = p.join(hint(rw, small), "walk").join(hint(rp, small), ["probe", "movie_id"])
     ru = F.when(F.col("flip"), F.col("r_probe")).otherwise(F.col("r_walk"))
     rv = F.when(F.col("flip"), F.col("r_walk")).otherwise(F.col("r_probe"))
     return (m.select("u", "v", ru.alias("ru"), rv.alias("rv"))
@@ -116,7 +123,8 @@ def pair_features(ratings: DataFrame, test: DataFrame) -> DataFrame:
     s_uv, s_uu, s_vv (sums over all co-rated movies, target included), and
     ``w``: the leave-one-out cosine of the two users (A3, target excluded).
     """
-    cand = corater_candidates(ratings, target_ratings(ratings, test))
+    # candidates feed both the pair list and the final join: compute them once
+    cand = materialize(corater_candidates(ratings, target_ratings(ratings, test)))
     stats = pair_stats(ratings, cand)
     zero = F.lit(0).cast("bigint")
     f = cand.join(stats, ["user_id", "corater_id"], "left").na.fill(

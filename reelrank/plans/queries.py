@@ -21,14 +21,20 @@ K_MOST_SIMILAR = 25     # neighbours considered by most_similar
 K_DEFAULT = 5           # default top-k
 
 
+def ratings(spark: SparkSession, d: str) -> DataFrame:
+    """The ratings fixture, computed once per query (read by several joins)."""
+    from ..operators.joins import materialize
+    return materialize(fx.ratings(spark, d))
+
+
 def _r6(c):
     return F.round(F.col(c), 6).alias(c)
 
 
-def test_set(spark: SparkSession, d: str) -> DataFrame:
+def test_set(spark: SparkSession, d: str, r: DataFrame | None = None) -> DataFrame:
     """The evaluation test set: the recent test set (J9) over the fixtures."""
     return ev.recent_test_set(fx.id_map(spark, d), fx.available(spark, d),
-                              fx.ratings(spark, d), *RECENT)
+                              fx.ratings(spark, d) if r is None else r, *RECENT)
 
 
 # --- ratings statistics -------------------------------------------------------
@@ -38,27 +44,27 @@ def q_user_avg(spark, d):
 
 
 def q_user_ratings_loo(spark, d):
-    return rt.user_ratings_loo(fx.ratings(spark, d), test_set(spark, d))
+    return rt.user_ratings_loo(ratings(spark, d), test_set(spark, d))
 
 
 def q_corater_candidates(spark, d):
-    return rt.corater_candidates(fx.ratings(spark, d), test_set(spark, d)).select(
+    return rt.corater_candidates(ratings(spark, d), test_set(spark, d)).select(
         "movie_id", "user_id", "corater_id", "vote")
 
 
 def q_pair_stats(spark, d):
-    r = fx.ratings(spark, d)
+    r = ratings(spark, d)
     cand = rt.corater_candidates(r, test_set(spark, d))
     return rt.pair_stats(r, cand)
 
 
 def q_user_cosine(spark, d):
-    return rt.user_cosine(fx.ratings(spark, d), test_set(spark, d)).select(
+    return rt.user_cosine(ratings(spark, d), test_set(spark, d)).select(
         "movie_id", "user_id", "corater_id", _r6("w"))
 
 
 def q_relative_avg(spark, d):
-    return rt.relative_avg(fx.ratings(spark, d), test_set(spark, d)).select(
+    return rt.relative_avg(ratings(spark, d), test_set(spark, d)).select(
         "movie_id", "user_id", "corater_id", _r6("user_rel_avg"), _r6("corater_rel_avg"))
 
 
@@ -68,16 +74,18 @@ def _preds(df):
 
 
 def q_group_lens(spark, d):
-    return _preds(rc.group_lens(fx.ratings(spark, d), test_set(spark, d)))
+    r = ratings(spark, d)
+    return _preds(rc.group_lens(r, test_set(spark, d, r)))
 
 
 def q_shw(spark, d):
-    return _preds(rc.shw(fx.ratings(spark, d), test_set(spark, d)))
+    r = ratings(spark, d)
+    return _preds(rc.shw(r, test_set(spark, d, r)))
 
 
-def neighbours_for_test(spark, d, k=K_MOST_SIMILAR):
+def neighbours_for_test(spark, d, k=K_MOST_SIMILAR, t=None):
     """Top-k corpus neighbours of the test set's distinct mapped movies."""
-    test = test_set(spark, d)
+    test = test_set(spark, d) if t is None else t
     idm = fx.id_map(spark, d)
     from ..functions.text import strip_leading_zeros
     targets = (idm.join(test.select(F.col("movie_id").alias("netflix_id")).distinct(),
@@ -87,20 +95,24 @@ def neighbours_for_test(spark, d, k=K_MOST_SIMILAR):
 
 
 def q_most_similar(spark, d):
-    r = fx.ratings(spark, d)
-    p = rc.most_similar(r, test_set(spark, d), fx.id_map(spark, d),
-                        neighbours_for_test(spark, d))
+    r = ratings(spark, d)
+    t = test_set(spark, d, r)
+    p = rc.most_similar(r, t, fx.id_map(spark, d), neighbours_for_test(spark, d, t=t))
     return p.select("movie_id", "user_id", "prediction")
 
 
-def all_predictions(spark, d):
-    r = fx.ratings(spark, d)
-    t = test_set(spark, d)
-    gl = rc.group_lens(r, t).select(F.lit("group_lens").alias("algorithm"), "movie_id",
-                                    "user_id", "raw", "prediction")
-    sh = rc.shw(r, t).select(F.lit("shw").alias("algorithm"), "movie_id", "user_id",
-                             "raw", "prediction")
-    ms = rc.most_similar(r, t, fx.id_map(spark, d), neighbours_for_test(spark, d)).select(
+def all_predictions(spark, d, r=None, t=None):
+    """The three algorithms' predictions; GroupLens and SHW share
+    one checkpointed pair-features table."""
+    from ..operators.joins import materialize
+    r = ratings(spark, d) if r is None else r
+    t = test_set(spark, d, r) if t is None else t
+    f = materialize(rt.pair_features(r, t))
+    gl = rc.group_lens(r, t, features=f).select(F.lit("group_lens").alias("algorithm"),
+                                                "movie_id", "user_id", "raw", "prediction")
+    sh = rc.shw(r, t, features=f).select(F.lit("shw").alias("algorithm"), "movie_id",
+                                         "user_id", "raw", "prediction")
+    ms = rc.most_similar(r, t, fx.id_map(spark, d), neighbours_for_test(spark, d, t=t)).select(
         F.lit("most_similar").alias("algorithm"), "movie_id", "user_id", "raw", "prediction")
     return gl.unionByName(sh).unionByName(ms)
 
@@ -111,8 +123,9 @@ def q_predictions_all(spark, d):
 
 
 def q_prediction_errors(spark, d):
-    t = test_set(spark, d)
-    p = all_predictions(spark, d)
+    r = ratings(spark, d)
+    t = test_set(spark, d, r)
+    p = all_predictions(spark, d, r, t)
     out = None
     for name in ("group_lens", "shw", "most_similar"):
         e = rc.prediction_errors(t, p.where(F.col("algorithm") == name)).select(
@@ -122,8 +135,9 @@ def q_prediction_errors(spark, d):
 
 
 def q_rmse(spark, d):
-    r = fx.ratings(spark, d)
-    out = ev.rmse(all_predictions(spark, d), r, test_set(spark, d))
+    r = ratings(spark, d)
+    t = test_set(spark, d, r)
+    out = ev.rmse(all_predictions(spark, d, r, t), r, t)
     return out.select("algorithm", "n_pred", "n_test", _r6("rmse"), _r6("coverage"))
 
 
@@ -168,7 +182,7 @@ def q_movie_similarity(spark, d):
     targets = (idm.join(test.select(F.col("movie_id").alias("netflix_id")).distinct(),
                         "netflix_id", "left_semi")
                .select(strip_leading_zeros(F.col("imdb_id")).alias("movie_id")))
-    s = sim.movie_similarity(sim.tfidf_weights(fx.corpus(spark, d)), targets)
+    s = sim.movie_similarity(sim.document_weights(fx.corpus(spark, d)), targets)
     return s.select("movie_id", "neighbour_id", _r6("similarity"))
 
 
