@@ -97,7 +97,15 @@ def pair_stats(ratings: DataFrame, pairs: DataFrame,
                         F.col("rating").cast("bigint").alias("r_walk"))
     rp = ratings.select(F.col("user_id").alias("probe"), "movie_id",
                         F.col("rating").cast("bigint").alias("r_probe"))
-    m = p.join(hint(rw, small), "walk").join(hint(rp, small), ["probe", "movie_id"])
+    m = p.join(hint(rw, small), "walk")
+    if _packable(ratings):
+        # one BIGINT key (user << 32 | movie): a long-keyed hash relation
+        key = lambda user, movie: F.shiftleft(user.cast("bigint"), 32) + movie
+        m = m.withColumn("_k", key(F.col("probe"), F.col("movie_id")))
+        rpk = rp.select(key(F.col("probe"), F.col("movie_id")).alias("_k"), "r_probe")
+        m = m.join(hint(rpk, small), "_k")
+    else:
+        m = m.join(hint(rp, small), ["probe", "movie_id"])
     ru = F.when(F.col("flip"), F.col("r_probe")).otherwise(F.col("r_walk"))
     rv = F.when(F.col("flip"), F.col("r_walk")).otherwise(F.col("r_probe"))
     return (m.select("u", "v", ru.alias("ru"), rv.alias("rv"))
@@ -109,6 +117,15 @@ def pair_stats(ratings: DataFrame, pairs: DataFrame,
                  F.sum(F.col("rv") * F.col("rv")).alias("s_vv")))
 
 
+def _packable(ratings: DataFrame) -> bool:
+    """True if user ids fit 31 bits and movie ids 32 bits (checked, one job)."""
+    b = ratings.agg(F.min("user_id").alias("u0"), F.max("user_id").alias("u1"),
+                    F.min("movie_id").alias("m0"), F.max("movie_id").alias("m1")).first()
+    if b is None or b.u0 is None:
+        return False
+    return b.u0 >= 0 and b.m0 >= 0 and b.u1 < (1 << 31) and b.m1 < (1 << 32)
+
+
 def target_ratings(ratings: DataFrame, test: DataFrame) -> DataFrame:
     """Test pairs with the user's own rating of the target (NULL if unrated)."""
     return (test.select("movie_id", "user_id")

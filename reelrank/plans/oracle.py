@@ -141,7 +141,7 @@ def similarity_ctes(k: int = 25) -> list[str]:
   SELECT * FROM (
     SELECT movie_id, neighbour_id, similarity,
            CAST(row_number() OVER (PARTITION BY movie_id
-                ORDER BY round(similarity, 9) DESC, neighbour_id) AS INTEGER) AS rank
+                ORDER BY floor(similarity * 1e9 + 0.5) DESC, neighbour_id) AS INTEGER) AS rank
     FROM simi) x WHERE rank <= {k})"""]
 
 
