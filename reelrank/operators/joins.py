@@ -39,12 +39,19 @@ def hint(df: DataFrame, small: bool) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: reliable checkpoint under the shared ``spark.checkpoint.dir``.
+    """Cut lineage: write ``df`` as a parquet table under the shared
+    ``spark.checkpoint.dir`` and read it back.
 
-    Used for inputs read several times by one plan (ratings, weights) so they
-    are computed once and survive executor loss.
+    Used for inputs read several times by one plan (ratings, candidates,
+    weights, numbered lines) so they are computed once and survive executor
+    loss.  A columnar table (rather than ``checkpoint()``'s serialized rows)
+    keeps later scans pruned to the columns they need.
     """
-    from ..session import ensure_checkpoint_dir
+    import uuid
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ..session import scratch_table_dir
+
+    spark = df.sparkSession
+    path = scratch_table_dir(spark, f"m-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -21,6 +21,7 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
 

@@ -32,16 +32,14 @@ def number_lines(df: DataFrame, order: list[str], source: str = "source",
     checkpointed (reliably, to ``spark.checkpoint.dir``) so that the count
     table and the rows agree and survive executor loss.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..operators.joins import materialize
 
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [source, *order]
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid", source).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(source).orderBy("_pid").rowsBetween(
