@@ -138,3 +138,10 @@ def read_keyed_ratings(spark: SparkSession, path: str, key: str = "user_id",
     else:
         k = F.regexp_extract(F.col("_metadata.file_path"), r"/[^/=]+=([^/]+)/[^/]*$", 1)
     return df.select(k.alias(key), other, "rating").where(F.col(other).isNotNull())
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """A ``movie,user,prediction`` file (blank lines dropped)."""
+    return (spark.read.option("header", "false")
+            .schema("movie_id string, user_id string, prediction int").csv(path)
+            .where(F.col("movie_id").isNotNull()))

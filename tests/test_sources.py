@@ -104,3 +104,27 @@ def test_subs_list_parse(spark):
     got = sorted(tuple(r) for r in ps.subs_list_parse(df).collect())
     assert got == [("12", 2, 1, "a", "http://x/a.gz"), ("12", 2, 2, "b", "http://x/b.gz"),
                    ("34", 1, 1, "c", "http://x/c.gz")]
+
+
+def test_predictions_text_round_trip(spark, tmp_dir):
+    p = spark.createDataFrame([(5, 1, 3), (6, 2, 4)], "movie_id long, user_id long, prediction int")
+    path = os.path.join(tmp_dir, "pred")
+    fm.write_predictions_text(p, path)
+    back = ln.read_predictions(spark, path).collect()
+    assert sorted(tuple(r) for r in back) == [("5", "1", 3), ("6", "2", 4)]
+
+
+def test_bucketed_layout_joins_without_exchange(spark):
+    r = spark.createDataFrame([(1, 10, 3), (1, 11, 4), (2, 10, 5)], "user_id long, movie_id long, rating int")
+    fm.save_ratings_bucketed(r, "rr_by_user", "user_id", 4)
+    fm.save_ratings_bucketed(r, "rr_by_user2", "user_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("rr_by_user").join(spark.table("rr_by_user2"), "user_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert j.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS rr_by_user")
+        spark.sql("DROP TABLE IF EXISTS rr_by_user2")
