@@ -72,5 +72,5 @@ def rmse(predictions: DataFrame, ratings: DataFrame, test: DataFrame | None = No
     if test is not None:
         n_test = test.select(F.count(F.lit(1))).scalar()
         agg = agg.withColumn("n_test", n_test).withColumn(
-            "coverage", F.col("n_pred") / F.col("n_test"))
+            "coverage", F.when(F.col("n_test") > 0, F.col("n_pred") / F.col("n_test")))
     return agg

@@ -31,8 +31,8 @@ def ratings_from_blocks(lines: DataFrame) -> DataFrame:
     body = _clean(lines.where(F.col("line_no") > 1))
     parts = F.split(F.col("value"), ",")
     body = body.where(F.size(parts) == 3).select(
-        "source", parts[0].alias("user_id"), parts[1].cast("int").alias("rating"),
-        F.to_date(parts[2]).alias("rated_on"))
+        "source", F.get(parts, 0).alias("user_id"), F.get(parts, 1).try_cast("int").alias("rating"),
+        F.get(parts, 2).try_cast("date").alias("rated_on"))
     return body.join(head, "source").select("movie_id", "user_id", "rating", "rated_on")
 
 
@@ -52,8 +52,8 @@ def id_map_rows(lines: DataFrame) -> DataFrame:
     """S4 base: (imdb_id with zeros stripped, netflix_id, source, line_no)."""
     df = _clean(lines)
     parts = F.split(F.col("value"), ",")
-    return df.select(strip_leading_zeros(parts[0]).alias("imdb_id"),
-                     parts[1].alias("netflix_id"), "source", "line_no")
+    return df.select(strip_leading_zeros(F.get(parts, 0)).alias("imdb_id"),
+                     F.get(parts, 1).alias("netflix_id"), "source", "line_no")
 
 
 def id_maps(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,8 +71,8 @@ def id_map_year_parse(lines: DataFrame) -> DataFrame:
     """``imdb,netflix,year,title`` with at most 3 splits (title keeps commas)."""
     df = _clean(lines)
     parts = F.split(F.col("value"), ",", 4)
-    return df.select(parts[0].alias("imdb_id"), parts[1].alias("netflix_id"),
-                     parts[2].cast("int").alias("year"), parts[3].alias("title"))
+    return df.select(F.get(parts, 0).alias("imdb_id"), F.get(parts, 1).alias("netflix_id"),
+                     F.get(parts, 2).try_cast("int").alias("year"), F.get(parts, 3).alias("title"))
 
 
 def titles_parse(lines: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def titles_parse(lines: DataFrame) -> DataFrame:
     parts = F.split(F.col("value"), ",")
     year = F.expr("try_cast(trim(split(value, ',')[1]) AS INT)")
     title = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), ",")
-    return df.select(parts[0].alias("netflix_id"), year.alias("year"), title.alias("title"),
+    return df.select(F.get(parts, 0).alias("netflix_id"), year.alias("year"), title.alias("title"),
                      year.isNull().alias("malformed"), "line_no")
 
 
@@ -97,7 +97,7 @@ def subs_list_parse(lines: DataFrame) -> DataFrame:
     m = F.regexp_extract(F.col("value"), r"^([^#]*):([0-9]+)$", 1)
     n = F.regexp_extract(F.col("value"), r"^([^#]*):([0-9]+)$", 2)
     is_head = ~F.col("value").contains("#") & F.col("value").rlike(r"^[^#]*:[0-9]+$")
-    head = F.when(is_head, F.struct(m.alias("movie_id"), n.cast("int").alias("n_files"),
+    head = F.when(is_head, F.struct(m.alias("movie_id"), n.try_cast("int").alias("n_files"),
                                     F.col("line_no").alias("at")))
     df = carry_forward(df, head)
     parts = F.split(F.col("value"), "#")
@@ -105,4 +105,4 @@ def subs_list_parse(lines: DataFrame) -> DataFrame:
     return (df.where(~is_head & F.col("header").isNotNull() & (pos <= F.col("header.n_files")))
             .select(F.col("header.movie_id").alias("movie_id"),
                     F.col("header.n_files").alias("n_files"), pos.alias("pos"),
-                    parts[0].alias("file_id"), parts[1].alias("link")))
+                    F.get(parts, 0).alias("file_id"), F.get(parts, 1).alias("link")))

@@ -127,3 +127,20 @@ def test_half_even_rounding(spark):
     df = spark.createDataFrame([(2.5,), (3.5,), (2.4999999999,), (-0.5,)], "x double")
     got = [r.p for r in df.select(rc.round_prediction(F.col("x")).alias("p")).collect()]
     assert got == [2, 4, 2, 0]
+
+
+def test_hot_movie_is_not_capped(spark):
+    # a third of all ratings on one movie: every co-rater still contributes
+    r0 = fx.ratings(spark, SF001)
+    users = r0.select("user_id").distinct()
+    hot = users.select("user_id", F.lit(999999).cast("long").alias("movie_id"),
+                       ((F.col("user_id") % 5) + 1).cast("int").alias("rating"))
+    r = r0.unionByName(hot).cache()
+    t = hot.where(F.col("user_id") % 7 == 0).select("movie_id", "user_id")
+    rows = [(x.user_id, x.movie_id, x.rating) for x in r.collect()]
+    trows = [(x.movie_id, x.user_id) for x in t.collect()]
+    gl_b, _ = _brute(rows, trows)
+    gl = {(x.movie_id, x.user_id): x.raw for x in rc.group_lens(r, t).collect()}
+    assert gl.keys() == gl_b.keys() and len(gl) == len(trows)
+    for k in gl:
+        assert gl[k] == pytest.approx(gl_b[k], abs=1e-9)

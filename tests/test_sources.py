@@ -128,3 +128,15 @@ def test_bucketed_layout_joins_without_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS rr_by_user")
         spark.sql("DROP TABLE IF EXISTS rr_by_user2")
+
+
+def test_malformed_fields_do_not_fail_under_ansi(spark):
+    df = _lines(spark, [("mv_1.txt", 1, "1:"), ("mv_1.txt", 2, "7,x,notadate"), ("mv_1.txt", 3, "8,4,2005-01-01")])
+    got = sorted((r.user_id, r.rating, str(r.rated_on)) for r in ps.ratings_from_blocks(df).collect())
+    assert got == [("7", None, "None"), ("8", 4, "2005-01-01")]
+
+
+def test_short_lines_give_nulls_not_errors(spark):
+    df = _lines(spark, [("m", 1, "0012"), ("m", 2, "0034,100,2002,C")])
+    got = sorted((r.imdb_id, r.netflix_id) for r in ps.id_map_rows(df).collect())
+    assert got == [("12", None), ("34", "100")]
