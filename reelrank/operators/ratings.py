@@ -98,7 +98,7 @@ def pair_stats(ratings: DataFrame, pairs: DataFrame,
     rp = ratings.select(F.col("user_id").alias("probe"), "movie_id",
                         F.col("rating").cast("bigint").alias("r_probe"))
     m = p.join(hint(rw, small), "walk")
-    if _packable(ratings):
+    if small and _packable(ratings):
         # one BIGINT key (user << 32 | movie): a long-keyed hash relation
         key = lambda user, movie: F.shiftleft(user.cast("bigint"), 32) + movie
         m = m.withColumn("_k", key(F.col("probe"), F.col("movie_id")))
