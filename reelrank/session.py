@@ -82,3 +82,17 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def clear_scratch_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables written under the checkpoint folder.
+
+    Call after the results of a run have been written; tables still referenced
+    by live DataFrames must not be cleared while those are in use.
+    """
+    base = scratch_table_dir(spark, "").rstrip("/")
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        fs.delete(p, True)
