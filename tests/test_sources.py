@@ -140,3 +140,38 @@ def test_short_lines_give_nulls_not_errors(spark):
     df = _lines(spark, [("m", 1, "0012"), ("m", 2, "0034,100,2002,C")])
     got = sorted((r.imdb_id, r.netflix_id) for r in ps.id_map_rows(df).collect())
     assert got == [("12", None), ("34", "100")]
+
+
+def test_read_lines_split_file_keeps_order(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "big")
+    os.makedirs(p)
+    expected = []
+    for f in ("a.txt", "b.txt"):
+        rows = []
+        for m in range(40):
+            rows.append(f"{m}:")
+            rows.extend(f"u{f[0]}{m}_{i}" for i in range(m % 7 + 1))
+        with open(os.path.join(p, f), "w") as fh:
+            fh.write("\n".join(rows) + "\n")
+        cur = None
+        for r in rows:
+            if r.endswith(":"):
+                cur = r[:-1]
+            else:
+                expected.append((cur, r))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        lines = ln.read_lines(spark, p)
+        raw = spark.read.text(p).rdd.getNumPartitions()
+        got = sorted((r.movie_id, r.user_id) for r in ps.test_set_parse(lines).collect())
+        seq = {r.source.split("/")[-1]: [] for r in lines.select("source").distinct().collect()}
+        for r in lines.orderBy("source", "line_no").collect():
+            seq[r.source.split("/")[-1]].append(r.value)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert raw > 4          # the files really were read in several splits
+    assert got == sorted(expected)
+    for f in ("a.txt", "b.txt"):
+        with open(os.path.join(p, f)) as fh:
+            assert seq[f] == fh.read().splitlines()
