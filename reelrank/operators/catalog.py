@@ -99,3 +99,51 @@ def file_names(links: DataFrame, col: str = "link") -> DataFrame:
     """local file name of a download link (``.gz`` -> ``.srt``)."""
     return links.withColumn("file_name", F.replace(last_path_segment(F.col(col)),
                                                     F.lit(".gz"), F.lit(".srt")))
+
+
+def deletion_variants(c, k: int):
+    """Every string obtained from ``c`` by deleting at most ``k`` characters.
+
+    Two strings within Levenshtein distance k share at least one such variant,
+    so an equi-join on variants finds every candidate pair exactly.
+    """
+    out = F.array(c)
+    cur = F.array(c)
+    for _ in range(k):
+        cur = F.array_distinct(F.flatten(F.transform(cur, lambda v: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))),
+            lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v)))))))
+        out = F.array_distinct(F.concat(out, cur))
+    return out
+
+
+def title_match_fuzzy(titles: DataFrame, catalogue: DataFrame, max_distance: int = 2) -> DataFrame:
+    """J10 fuzzy mode: catalogue titles of the same year within
+    ``max_distance`` edits of the (normalised) title.
+
+    Candidate generation joins deletion variants of the *distinct*
+    (title, year) keys of both sides - never all titles of a year against
+    each other - and every candidate is verified with ``levenshtein``.
+    Returns the same columns as :func:`title_match`.
+    """
+    cat = (catalogue.select(normalise_title(F.col("title")).alias("ckey"), "year", "imdb_id")
+           .groupBy("ckey", "year")
+           .agg(F.count(F.lit(1)).alias("n"), F.collect_list("imdb_id").alias("ids")))
+    t = titles.withColumn("key", normalise_title(F.col("title")))
+    keys = t.where(~F.col("malformed")).select("key", "year").distinct()
+    kv = keys.select("key", "year", F.explode(deletion_variants(F.col("key"), max_distance)).alias("var"))
+    cv = cat.select("ckey", "year", F.explode(deletion_variants(F.col("ckey"), max_distance)).alias("var"))
+    pairs = (kv.join(cv, ["year", "var"]).select("key", "year", "ckey").distinct()
+             .where(F.levenshtein("key", "ckey") <= max_distance))
+    hits = (pairs.join(cat, ["ckey", "year"])
+            .groupBy("key", "year")
+            .agg(F.sum("n").alias("n_candidates"),
+                 F.array_join(F.array_sort(F.flatten(F.collect_list("ids"))), "/").alias("ids")))
+    j = t.join(hits, ["key", "year"], "left")
+    n = F.coalesce(F.col("n_candidates"), F.lit(0))
+    status = (F.when(F.col("malformed"), F.lit("malformed"))
+              .when(n == 0, F.lit("no_match"))
+              .when(n == 1, F.lit("matched"))
+              .otherwise(F.lit("conflict")))
+    return j.select("netflix_id", "year", "title", status.alias("status"),
+                    F.when(n > 0, F.col("ids")).alias("imdb_ids"))

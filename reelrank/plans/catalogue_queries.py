@@ -25,6 +25,13 @@ def q_title_match(spark, d):
     return _matches(spark, d)
 
 
+FUZZY_DISTANCE = 2   # edits allowed by the fuzzy title mode
+
+
+def q_title_match_fuzzy(spark, d):
+    return ct.title_match_fuzzy(_titles(spark, d), fx.id_map(spark, d), FUZZY_DISTANCE)
+
+
 def q_title_match_summary(spark, d):
     return ct.title_match_summary(_matches(spark, d))
 
@@ -122,6 +129,13 @@ def oracle_queries() -> dict[str, str]:
     q = {}
     q["title_match"] = o.with_(o.ID_MAP, TITLES, MATCHES) + \
         "SELECT netflix_id, year, title, status, imdb_ids FROM matches"
+    q["title_match_fuzzy"] = o.with_(o.ID_MAP, TITLES) + f"""SELECT t.netflix_id, t.year, t.title,
+  CASE WHEN t.malformed THEN 'malformed' WHEN count(c.imdb_id) = 0 THEN 'no_match'
+       WHEN count(c.imdb_id) = 1 THEN 'matched' ELSE 'conflict' END AS status,
+  CASE WHEN count(c.imdb_id) > 0 THEN string_agg(c.imdb_id, '/' ORDER BY c.imdb_id) END AS imdb_ids
+FROM titles t LEFT JOIN id_map c ON c.year = t.year
+  AND levenshtein({NORM.format(c='t.title')}, {NORM.format(c='c.title')}) <= {FUZZY_DISTANCE}
+GROUP BY t.netflix_id, t.year, t.title, t.malformed"""
     q["title_match_summary"] = o.with_(o.ID_MAP, TITLES, MATCHES) + """SELECT status, CAST(count(*) AS BIGINT) AS n
 FROM matches GROUP BY status UNION ALL SELECT 'lines', CAST(count(*) AS BIGINT) FROM matches"""
     q["unique_ids"] = o.with_(UNIQUE) + "SELECT rank, imdb_id FROM ranked"

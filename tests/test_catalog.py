@@ -53,3 +53,27 @@ def test_subs_requested_strips_zeros(spark):
 def test_file_names(spark):
     df = spark.createDataFrame([("http://x/y/abc.gz",)], "link string")
     assert ct.file_names(df).first().file_name == "abc.srt"
+
+
+def test_title_match_fuzzy(spark):
+    titles = spark.createDataFrame(
+        [("1", 1977, "Star War", False), ("2", 1977, "Star Wrs", False), ("3", 1980, "Star Wars", False),
+         ("4", 1999, "Matrix", False), ("5", 1999, "Zzz", False), ("6", None, "x", True)],
+        "netflix_id string, year int, title string, malformed boolean")
+    cat = spark.createDataFrame(
+        [("0076759", 1977, "Star Wars"), ("0080684", 1980, "Star Wars: Episode V"),
+         ("0133093", 1999, "The Matrix"), ("0999999", 1999, "Matrix!")],
+        "imdb_id string, year int, title string")
+    got = {r.netflix_id: (r.status, r.imdb_ids) for r in ct.title_match_fuzzy(titles, cat, 1).collect()}
+    assert got == {"1": ("matched", "0076759"), "2": ("matched", "0076759"),
+                   "3": ("no_match", None), "4": ("matched", "0999999"),
+                   "5": ("no_match", None), "6": ("malformed", None)}
+    got2 = {r.netflix_id: r.imdb_ids for r in ct.title_match_fuzzy(titles, cat, 4).collect()}
+    assert got2["4"] == "0133093/0999999"
+
+
+def test_deletion_variants(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("abc",)], "s string")
+    v = df.select(ct.deletion_variants(F.col("s"), 2).alias("v")).first().v
+    assert sorted(v) == sorted(["abc", "bc", "ac", "ab", "c", "b", "a"])
