@@ -191,6 +191,24 @@ FROM test t JOIN ratings r ON r.movie_id = t.movie_id AND r.user_id <> t.user_id
   round(CASE WHEN n > 0 THEN s_v / n ELSE 0.0 END, 6) AS corater_rel_avg FROM feat"""
     q["group_lens"] = with_(*_base(), FEATURES, USER_AVG, GROUP_LENS) + \
         f"SELECT movie_id, user_id, round(raw, 6) AS raw, {pred('raw')} AS prediction FROM gl_pred"
+    q["group_lens_loo"] = with_(*_base(), FEATURES, USER_AVG) + f"""SELECT g.movie_id, g.user_id,
+  round(r.mu + g.num / g.den, 6) AS raw, {pred('r.mu + g.num / g.den')} AS prediction
+FROM (SELECT f.movie_id, f.user_id, max(f.r_target) AS r_target,
+             sum(f.w * (f.vote - mv.avg_rating)) AS num, sum(abs(f.w)) AS den
+      FROM feat f JOIN uavg mv ON mv.user_id = f.corater_id GROUP BY f.movie_id, f.user_id) g
+JOIN (SELECT user_id, n_ratings, sum_ratings FROM uavg) u ON u.user_id = g.user_id,
+LATERAL (SELECT CASE WHEN u.n_ratings - CASE WHEN g.r_target IS NULL THEN 0 ELSE 1 END > 0
+         THEN (u.sum_ratings - coalesce(g.r_target, 0)) / (u.n_ratings - CASE WHEN g.r_target IS NULL THEN 0 ELSE 1 END)
+         ELSE 0.0 END AS mu) r
+WHERE g.den <> 0"""
+    q["shw_loo"] = with_(*_base(), FEATURES) + f"""SELECT movie_id, user_id, round(num1 / den + num2 / den, 6) AS raw,
+  {pred('num1 / den + num2 / den')} AS prediction FROM (
+  SELECT movie_id, user_id,
+    sum(abs(w) * CASE WHEN nn > 0 THEN (s_u - coalesce(r_target, 0)) / nn ELSE 0.0 END) AS num1,
+    sum(w * (vote - CASE WHEN nn > 0 THEN (s_v - CASE WHEN r_target IS NULL THEN 0 ELSE vote END) / nn ELSE 0.0 END)) AS num2,
+    sum(abs(w)) AS den
+  FROM (SELECT *, n - CASE WHEN r_target IS NULL THEN 0 ELSE 1 END AS nn FROM feat) x
+  GROUP BY movie_id, user_id) y WHERE den <> 0"""
     q["shw"] = with_(*_base(), FEATURES, SHW) + \
         f"SELECT movie_id, user_id, round(raw, 6) AS raw, {pred('raw')} AS prediction FROM shw_pred"
     q["most_similar"] = with_(*_base(), *similarity_ctes(25), MOST_SIMILAR) + \

@@ -83,6 +83,18 @@ def q_shw(spark, d):
     return _preds(rc.shw(r, test_set(spark, d, r)))
 
 
+def q_group_lens_loo(spark, d):
+    """Q3 option: the test user's mean leaves the target rating out."""
+    r = ratings(spark, d)
+    return _preds(rc.group_lens(r, test_set(spark, d, r), exclude_target=True))
+
+
+def q_shw_loo(spark, d):
+    """Q3 option: both co-rating means leave the target rating out."""
+    r = ratings(spark, d)
+    return _preds(rc.shw(r, test_set(spark, d, r), exclude_target=True))
+
+
 def neighbours_for_test(spark, d, k=K_MOST_SIMILAR, t=None):
     """Top-k corpus neighbours of the test set's distinct mapped movies."""
     test = test_set(spark, d) if t is None else t
