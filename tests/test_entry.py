@@ -42,3 +42,15 @@ def test_oracle_sf0001(spark, key):
     idx = [cols.index(c) for c in order]
     b = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert a == b
+
+
+@pytest.mark.parametrize("key", ["group_lens", "most_similar"])
+def test_shuffle_path_equals_broadcast_path(spark, key):
+    q = E.queries()[key]
+    a = sorted(map(tuple, q(spark, SF001).collect()))
+    spark.conf.set("reelrank.broadcast.maxRows", "0")
+    try:
+        b = sorted(map(tuple, q(spark, SF001).collect()))
+    finally:
+        spark.conf.unset("reelrank.broadcast.maxRows")
+    assert a == b and len(a) > 0
