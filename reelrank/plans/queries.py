@@ -44,27 +44,31 @@ def q_user_avg(spark, d):
 
 
 def q_user_ratings_loo(spark, d):
-    return rt.user_ratings_loo(ratings(spark, d), test_set(spark, d))
+    r = ratings(spark, d)
+    return rt.user_ratings_loo(r, test_set(spark, d, r))
 
 
 def q_corater_candidates(spark, d):
-    return rt.corater_candidates(ratings(spark, d), test_set(spark, d)).select(
+    r = ratings(spark, d)
+    return rt.corater_candidates(r, test_set(spark, d, r)).select(
         "movie_id", "user_id", "corater_id", "vote")
 
 
 def q_pair_stats(spark, d):
     r = ratings(spark, d)
-    cand = rt.corater_candidates(r, test_set(spark, d))
+    cand = rt.corater_candidates(r, test_set(spark, d, r))
     return rt.pair_stats(r, cand)
 
 
 def q_user_cosine(spark, d):
-    return rt.user_cosine(ratings(spark, d), test_set(spark, d)).select(
+    r = ratings(spark, d)
+    return rt.user_cosine(r, test_set(spark, d, r)).select(
         "movie_id", "user_id", "corater_id", _r6("w"))
 
 
 def q_relative_avg(spark, d):
-    return rt.relative_avg(ratings(spark, d), test_set(spark, d)).select(
+    r = ratings(spark, d)
+    return rt.relative_avg(r, test_set(spark, d, r)).select(
         "movie_id", "user_id", "corater_id", _r6("user_rel_avg"), _r6("corater_rel_avg"))
 
 
