@@ -32,7 +32,7 @@ def number_lines(df: DataFrame, order: list[str], source: str = "source",
     checkpointed (reliably, to ``spark.checkpoint.dir``) so that the count
     table and the rows agree and survive executor loss.
     """
-    from ..operators.joins import materialize
+    from ..operators.joins import fits_broadcast, hint, materialize
 
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -45,7 +45,10 @@ def number_lines(df: DataFrame, order: list[str], source: str = "source",
     before = Window.partitionBy(source).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    return (tagged.join(counts.select("_pid", source, "_off", "_first"), ["_pid", source])
+    counts = counts.select("_pid", source, "_off", "_first")
+    # one row per (partition, source): broadcast it (checked) so the lines
+    # themselves are not shuffled again
+    return (tagged.join(hint(counts, fits_broadcast(counts)), ["_pid", source])
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
             .drop("_pid", "_mid", "_off", "_first", "_cnt"))
 
@@ -55,6 +58,8 @@ def carry_forward(lines: DataFrame, header: Column, out: str = "header",
                   block: int = DEFAULT_BLOCK) -> DataFrame:
     """Add ``out`` = the value of ``header`` on the closest line at or before
     each line (``header`` is NULL on non-header lines)."""
+    from ..operators.joins import fits_broadcast, hint
+
     b = F.floor((F.col(line_no) - 1) / F.lit(block))
     df = lines.withColumn("_h", header).withColumn("_blk", b)
     within = Window.partitionBy(source, "_blk").orderBy(line_no).rowsBetween(
@@ -67,7 +72,7 @@ def carry_forward(lines: DataFrame, header: Column, out: str = "header",
               .join(tails, [source, "_blk"], "left")
               .withColumn("_carry", F.last("_tail", ignorenulls=True).over(prev))
               .select(source, "_blk", "_carry"))
-    return (df.join(blocks, [source, "_blk"], "left")
+    return (df.join(hint(blocks, fits_broadcast(blocks)), [source, "_blk"], "left")
             .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
             .drop("_h", "_blk", "_local", "_carry"))
 
