@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_eol, strip_leading_zeros
 from ..operators.dedupe import last_wins
+from ..operators.joins import fits_broadcast, hint
 from .lines import carry_forward
 
 
@@ -33,7 +34,9 @@ def ratings_from_blocks(lines: DataFrame) -> DataFrame:
     body = body.where(F.size(parts) == 3).select(
         "source", F.get(parts, 0).alias("user_id"), F.get(parts, 1).try_cast("int").alias("rating"),
         F.get(parts, 2).try_cast("date").alias("rated_on"))
-    return body.join(head, "source").select("movie_id", "user_id", "rating", "rated_on")
+    # one header per file: broadcast it (checked) instead of shuffling the lines
+    return (body.join(hint(head, fits_broadcast(head)), "source")
+            .select("movie_id", "user_id", "rating", "rated_on"))
 
 
 def test_set_parse(lines: DataFrame) -> DataFrame:
