@@ -66,10 +66,15 @@ def _sigmoid(z):
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int,
-        l1: float = 2e-4, steps: int = 300) -> OrdinalModel:
+        l1: float = 1e-3, steps: int = 300, min_rows: int = 5) -> OrdinalModel:
     """Fit by accelerated proximal gradient on the mean of the thresholds'
-    log losses; classes weigh alike, so that rare grades count."""
-    used = np.unique(np.concatenate([ix for ix, _ in rows] or [np.empty(0, np.int64)]))
+    log losses; classes weigh alike, so that rare grades count.  Features of
+    fewer than ``min_rows`` rows say nothing about other rows and get no weight.
+    Weights are not negative: no word takes back what another one shows, so a
+    long text can't hide it."""
+    every, found = np.unique(np.concatenate([ix for ix, _ in rows] or [np.empty(0, np.int64)]), return_counts=True)
+    used = every[found >= min_rows]
+    rows = [(ix[k], n[k]) for ix, n in rows for k in [np.isin(ix, used, assume_unique=True)]]
     weights, thetas = np.zeros(FEATURES), np.linspace(0, 1, max(1, n_grades - 1))
     if not len(rows):
         return OrdinalModel(weights, thetas + 35)
@@ -92,7 +97,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         err = (_sigmoid(z[:, None] - tv) - above) * cost
         g = np.bincount(col, weights=val * err.sum(1)[row], minlength=len(used))
         new = v - step * g / size
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1 / size, 0)
+        new = np.maximum(new - step * l1 / size, 0)
         th_new = np.maximum.accumulate(tv + step * err.sum(0))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, tv = new + (t - 1) / t_new * (new - w), th_new + (t - 1) / t_new * (th_new - th)

@@ -1,0 +1,319 @@
+"""The operators without a SQL twin (and their odd rows) against brute force,
+exact round trips or held-out accuracy."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from reelrank.llm import langid, neardup_embeddings, packing, simhash, topk, toxicity, warc
+from reelrank.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, source string, lang string, _rr_text string, fingerprint int"
+
+
+def _slow_fingerprint(text, k=4):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", words) if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))]
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def _components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_fingerprints():
+    for t in [None, "", "  \t", "One", "a b c", "A b\x1fc d É x e", "lorem ipsum " * 500]:
+        assert simhash.fingerprint(t, 4) == _slow_fingerprint(t)
+
+
+def test_block_masks_cover_every_four_bits():
+    masks = simhash.block_masks(4)
+    rng = random.Random(1)
+    for _ in range(2000):
+        diff = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(diff & m == 0 for m in masks)
+
+
+def test_gray_index_against_all_pairs():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(600)], dtype=np.uint64)
+    x = np.unique(np.concatenate((base, base[rng.integers(0, 30, 600)] ^ flips, np.zeros(1, np.uint64))))
+    q, r = simhash.GrayIndex(x).near(x, 4)
+    d = np.bitwise_count(x[:, None] ^ x)
+    assert set(zip(q.tolist(), r.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 4))))
+
+
+def test_simhash_query_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    fp = {d: _slow_fingerprint(t) for d, t in docs.items()}
+    ids = sorted(docs)
+    root = _components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fp[a] ^ fp[b]).bit_count() <= 4])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in Q.op9_simhash_neardup(spark, SF).collect()}
+    assert got == {d: (f"{fp[d]:016x}", root[d]) for d in ids}
+    df = spark.createDataFrame([(None, "a b", "s", "en", "x", 1), (None, "a b", "s", "en", "x", 1), (5, None, "s", None, "x", 1),
+                                (6, "", "s", None, "x", 1), (7, "z y x w v " * 3000, None, None, None, None)], DOC)
+    kept = simhash.drop_near_copies(df, "doc_id", "text").collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["5", "7", "None"] and kept[0].asDict().keys() == set(df.columns)
+    assert simhash.simhash_components(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_hot_groups_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(3)
+    fps = sorted({sum(1 << b for b in rng.sample(range(40), 2)) for _ in range(60)})
+    df = spark.createDataFrame([(x,) for x in fps], "_rr_fp long")
+    links = [(r.src, r.dst) for r in simhash.simhash_links(df, 4).collect()]
+    assert len(set(_components(fps, links).values())) == 1
+
+
+def test_token_ids_equal_the_tokenizer_file():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    t = Tokenizer.from_file(path)
+    encode = packing.ByteBpe(path)
+    rng = random.Random(5)
+    texts = ["", " ", "a  b", "x \n y", "x\n \ny", "é ß 漢字   z", "don't  I'll", "\n\n a", "tail ", " head", "a\t b", "1 22 333"]
+    texts += ["".join(rng.choice(["a", "B", " ", " ", "\n", ",", "'s", "9", "ü", " ", "\r\n"]) for _ in range(40)) for _ in range(300)]
+    for _ in range(2):  # the second time from memory
+        for x in texts:
+            want = t.encode(x, add_special_tokens=False).ids
+            assert np.frombuffer(encode(x), "<u4").tolist() == want, repr(x)
+
+
+def _check_pack(pieces, n_tokens):
+    by_doc, by_seq = {}, {}
+    for r in pieces:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    for d, n in n_tokens.items():
+        at = 0
+        for r in sorted(by_doc[d], key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["doc_tokens"] == n
+            at += r["length"]
+        assert at == n
+    assert sorted(by_seq) == list(range(len(by_seq)))
+    for s, rows in by_seq.items():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048 and (at == 2048 or s == len(by_seq) - 1)
+    return by_seq
+
+
+def test_pack_round_trip_and_proportions(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    enc = packing.ByteBpe(packing.default_tokenizer())
+    ids = {r.doc_id: np.append(np.frombuffer(enc(r.text), "<u4"), 1).astype("<u4") for r in df.collect()}
+    rows = [r.asDict() for r in Q.op1_pack_documents(spark, SF).collect()]
+    seqs = _check_pack(rows, {d: len(x) for d, x in ids.items()})
+    for r in rows:
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"]:r["start"] + r["length"]].tobytes())
+    total = sum(map(len, ids.values()))
+    share = Counter()
+    for r in rows:
+        share[r["source"]] += r["length"] / total
+    for s in range(len(seqs) - 2):
+        got = Counter()
+        for r in seqs[s]:
+            got[r["source"]] += r["length"]
+        for k, p in share.items():
+            assert abs(got[k] - 2048 * p) <= 3 * packing.QUANTUM
+
+
+def test_pack_weights_and_odd_rows(spark):
+    rows = [(None, None, None), (1, "", "a"), (1, "", "a"), (2, "word " * 9000, "b"), (3, "hey you", "c")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, start string")
+    out = packing.pack(df, weights={"a": 1, "b": 2, None: 1}).collect()
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in v) == 2048 for s, v in seqs.items() if s < max(seqs))
+    assert sum(r.length for r in out) == sum(1 for _ in rows) + len(packing.ByteBpe(packing.default_tokenizer())("word " * 9000)) // 4 + 2
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in langid.predict_languages(docs, "doc_id", "text", "lang").collect()}
+    held = [r for r in docs.select("doc_id", "lang").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert {r.doc_id for r in held} == {d for d, r in got.items() if r.held_out}
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held if r.lang]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_ngrams_and_odd_languages(spark):
+    codes, counts = langid.ngram_counts("Ab1 ab")
+    named = {"".join(chr(c >> s & 0x1FFFFF) for s in (42, 21, 0) if c >> s & 0x1FFFFF): n for c, n in zip(codes.tolist(), counts.tolist())}
+    assert named == {"a": 2, "b": 2, " a": 2, "ab": 2, "b ": 2, " ab": 2, "ab ": 2}
+    df = spark.createDataFrame([(None, None, None, "en", "x", 1), (1, "123 !!", "s", None, "x", 1), (7, "hello there", "s", "en", "x", 1),
+                                (7, "hello there", "s", "en", "x", 1), (3, "x " * 50000, "s", None, "x", 1)], DOC)
+    got = langid.predict_languages(df, "doc_id", "text", "lang").collect()
+    assert len(got) == 5 and {(r.doc_id, r.lang_pred) for r in got} >= {(None, "und"), (1, "und"), (7, "en")}
+    assert langid.keep_identified(df, "text", "lang", 0.1).columns == df.columns
+    empty = df.limit(0)
+    assert langid.predict_languages(empty, "doc_id", "text", "lang").count() == 0
+
+
+def test_salvage_goes_on_after_damage():
+    recs = [warc.record_bytes("response", i, f"http://x/{i} y", b"<p>WARC/1.1\r\n" + bytes([65 + i]) * 300) for i in range(6)]
+    members = [warc.member(r) for r in recs]
+    assert [r["id"] for r in warc.salvage(b"".join(members))] == [f"<urn:page:{i}>" for i in range(6)]
+    bad = bytearray(b"".join(members))
+    bad[len(members[0]) + len(members[1]) // 2] ^= 0xFF
+    out = list(warc.salvage(b"junk" + bytes(bad) + members[0][:40]))
+    assert [r["id"] for r in out if r["kind"] == "record"] == [f"<urn:page:{i}>" for i in (0, 2, 3, 4, 5)]
+    gaps = [(r["offset"], r["length"]) for r in out if r["kind"] == "gap"]
+    assert gaps == [(0, 4), (4 + len(members[0]), len(members[1])), (4 + sum(map(len, members)), 40)]
+    plain = bytearray(b"".join(recs))
+    plain[len(recs[0]) + len(recs[1]) - 50] ^= 1
+    out = list(warc.salvage(bytes(plain)))
+    assert [r["id"] for r in out if r["kind"] == "record"] == [f"<urn:page:{i}>" for i in (0, 2, 3, 4, 5)]
+    assert sum(r["length"] for r in out) == len(plain) and list(warc.salvage(b"")) == []
+
+
+def test_warc_odd_rows_round_trip(spark):
+    rows = [(None, "u", "same", 1), (4, None, "same", 1), (2, "http://é x", "same", 1), (2, "v", "same", 1), (9, "w", None, 1),
+            (8, "w", "", 1), (7, "w", "é" * 100000, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type int")
+    folder = warc.archive_folder(spark)
+    files = warc.write_warc(df, folder, file_bytes=1000).collect()
+    assert sum(r.records for r in files) == len(rows)
+    got = warc.read_warc(spark, folder).where("kind = 'record'").select(
+        warc.page_number("record_id").alias("p"), "record_type", warc.page_number("refers_to").alias("r"), "payload_bytes", "payload").collect()
+    seen = Counter((r.p, r.record_type, r.r, r.payload_bytes) for r in got)
+    assert seen == Counter([(None, "revisit", 2, 4), (4, "revisit", 2, 4), (2, "response", None, 4), (2, "response", None, 4),
+                            (9, "revisit", 8, 0), (8, "response", None, 0), (7, "response", None, 200000)])
+    assert next(bytes(r.payload) for r in got if r.p == 7).decode() == "é" * 100000
+    empty = warc.archive_folder(spark)
+    assert warc.write_warc(df.limit(0), empty).count() == 0
+
+
+def _vectors(seed=6, n=300, dim=48):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    for i in range(0, n, 3):
+        x[i] = x[i // 5] + rng.normal(size=dim) * rng.choice([0.05, 0.2, 0.3])
+    x[7] = x[8]
+    return x
+
+
+def test_embedding_links_against_brute_force(spark):
+    x = _vectors()
+    odd = [(None, [1.0] * 48), (1000, None), (1001, [0.0] * 48), (1002, [float("nan")] * 48), (1003, [None, 1.0]), (1004, []),
+           (1005, [1.0, 2.0]), (1006, [2.0, 4.0])]
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)] + [(*o, "x") for o in odd],
+                               "vec_id long, embedding array<double>, n_links string")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    links = list(zip(a.tolist(), b.tolist())) + [(1005, 1006)]
+    root = _components([*range(len(x)), *range(1000, 1007)], links)
+    n = Counter(v for p in links for v in p)
+    got = neardup_embeddings.near_duplicates(df).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {
+        v: (n[v], c, v == c) for v, c in root.items()}
+    assert len(got) == len(x) + len(odd)
+    assert neardup_embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_hadamard_is_orthogonal():
+    h = neardup_embeddings.hadamard(np.eye(16))
+    assert np.array_equal(h @ h.T, 16 * np.eye(16))
+
+
+def test_cover_tree_covers():
+    x = np.random.default_rng(8).normal(size=(1500, 3))
+    todo, leaves = [topk.cover_tree(x)], []
+    while todo:
+        n = todo.pop()
+        assert (np.linalg.norm(x[n.rows] - n.center, axis=1) <= n.radius * (1 + 1e-9)).all()
+        if n.children:
+            assert sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
+        todo += n.children
+        leaves += [] if n.children else [n.rows]
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(1500)) and len(leaves) > 5
+
+
+@pytest.mark.parametrize("dim", [2, 24])
+def test_dual_search_against_brute_force(dim):
+    rng = np.random.default_rng(9)
+    x = np.floor(rng.normal(size=(1200, dim)) * 20)
+    q, qids = x[:200], np.arange(200)
+    s, i = topk.dual_search(q, x, np.arange(1200), qids, 5)
+    full = q @ x.T
+    full[qids, qids] = -np.inf
+    for r in range(200):
+        want = np.lexsort((np.arange(1200), -full[r]))[:5]
+        assert i[r].tolist() == want.tolist() and s[r].tolist() == full[r][want].tolist()
+
+
+def test_top_k_odd_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0], "x"), (50, [1.0, 1.0], "x"), (50, [1.0, 1.0], "x"), (3, None, "x"), (4, [None, 1.0], "x"),
+                                (None, [9.0, 9.0], "x"), (100, [1.0], "x")], "vec_id long, embedding array<double>, rank string")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == [(0, 1, 50, 3 * 65536), (50, 1, 0, 3 * 65536)]
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = labels.select("doc_id", "toxic").collect()
+    held = {r.doc_id: r.toxic for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 0}
+    train = spark.createDataFrame([(r.doc_id, r.toxic) for r in rows if r.doc_id not in held], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.severity(docs, train, "doc_id", "text", "toxic").collect()}
+    tp = sum(got[i].toxic and y for i, y in held.items())
+    # about one label in twenty is noise: a toxic label without an insult in the text
+    assert tp / sum(held.values()) > 0.8 and tp / sum(got[i].toxic for i in held) > 0.95
+    insults = r"(?i)\b(idiot|stupid|moron|scum|loser|worthless|pathetic)\b"
+    rude = {r.doc_id for r in docs.where(F.col("text").rlike(insults)).select("doc_id").collect()}
+    assert sum(got[i].toxic for i in rude) / len(rude) > 0.98
+    assert all(0 <= r.severity <= 2 and (r.grade > 0) == r.toxic for r in got.values())
+
+
+def test_ordinal_regression_orders_grades():
+    rng = np.random.default_rng(11)
+    words = [[f"mild{c}" for c in "abcd"], [f"grave{c}" for c in "abcd"]]
+    texts, y = [], []
+    for _ in range(600):
+        g = int(rng.integers(0, 3))
+        t = [f"w{chr(97 + int(k))}" for k in rng.integers(0, 26, 30)] + (list(rng.choice(words[g - 1], 2)) if g else [])
+        texts.append(" ".join(t))
+        y.append(g)
+    m = toxicity.fit([toxicity.features(t) for t in texts], np.array(y), 3)
+    sev = np.array([m.exceed(t).sum() for t in texts])
+    assert (np.diff(m.thetas) >= 0).all()
+    means = [sev[np.array(y) == g].mean() for g in range(3)]
+    assert means[0] + 0.4 < means[1] and means[1] + 0.4 < means[2]
+
+
+def test_toxicity_odd_rows(spark):
+    docs = spark.createDataFrame([(None, None, "x"), (1, "", "x"), (2, "bad bad", "x"), (2, "bad bad", "x")], "doc_id long, text string, severity string")
+    labels = spark.createDataFrame([(2, 1), (1, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    assert toxicity.severity(docs, labels, "doc_id", "text", "toxic").count() == 4
+    assert toxicity.severity(docs, labels.limit(0), "doc_id", "text", "toxic").where("toxic").count() == 0
+    assert toxicity.severity(docs.limit(0), labels, "doc_id", "text", "toxic").count() == 0
+
+
