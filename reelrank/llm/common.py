@@ -6,12 +6,13 @@ cannot clash with them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import materialize
+from ..session import scratch_table_dir
 
 __all__ = ["materialize", "md5_hex", "hash_unit", "prefix_offsets", "blocked_groups",
            "connected_components", "read_table"]
@@ -20,6 +21,14 @@ __all__ = ["materialize", "md5_hex", "hash_unit", "prefix_offsets", "blocked_gro
 BUCKET_DIGITS = 4
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` as a table under the shared checkpoint folder
+    and read it back.  Compressed well, as these tables live as long as the run."""
+    path = scratch_table_dir(df.sparkSession, f"m-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
