@@ -103,13 +103,18 @@ ANCHOR = r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 
 
 def link_by_text(html: Column, url: Column, label: str) -> Column:
-    """absolute URL of the first link whose visible text equals ``label``."""
+    """absolute URL of the first link whose visible text equals ``label``.
+
+    Absolute links stay, links from the root or without a slash are put under the page's host.
+    """
     h = drop_scripts(html)
     links = F.arrays_zip(F.regexp_extract_all(h, F.lit(ANCHOR), 1).alias("href"),
                          F.regexp_extract_all(h, F.lit(ANCHOR), 2).alias("text"))
     hit = F.filter(links, lambda x: F.regexp_replace(x["text"], TAG, "") == F.lit(label))
-    return F.when(F.size(hit) > 0,
-                  F.concat(base_url(url), F.element_at(hit, 1)["href"]))
+    href = F.get(hit, F.lit(0))["href"]
+    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+            .when(href.startswith("/"), F.concat(base_url(url), href))
+            .when(F.size(hit) > 0, F.concat(base_url(url), F.lit("/"), href)))
 
 
 def section_text(html: Column, open_tag_regex: str, close_tag: str) -> Column:

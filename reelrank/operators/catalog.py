@@ -79,15 +79,17 @@ def best_subtitles(subs: DataFrame) -> DataFrame:
 
     ``subs(movie_id, sub_id, file_id, link, sub_format, sum_cd INT)``.
     Returns (movie_id, sub_id, n_files, pos, file_id, link).  An incomplete
-    best set drops the movie (no fallback to the next set).
+    best set drops the movie (no fallback to the next set), as does one whose
+    files declare different CD counts.
     """
     srt = subs.where(F.col("sub_format") == "srt")
-    sets = srt.groupBy("movie_id", "sub_id", "sum_cd").agg(F.count(F.lit(1)).alias("n_files"))
+    sets = srt.groupBy("movie_id", "sub_id").agg(F.min("sum_cd").alias("sum_cd"), F.max("sum_cd").alias("max_cd"),
+                                                 F.count(F.lit(1)).alias("n_files"))
     best = (sets.groupBy("movie_id")
-            .agg(F.min_by(F.struct("sub_id", "sum_cd", "n_files"),
+            .agg(F.min_by(F.struct("sub_id", "sum_cd", "max_cd", "n_files"),
                           F.struct("sum_cd", "sub_id")).alias("b"))
             .select("movie_id", "b.*")
-            .where(F.col("n_files") == F.col("sum_cd")))
+            .where((F.col("n_files") == F.col("sum_cd")) & (F.col("sum_cd") == F.col("max_cd"))))
     files = srt.join(best.select("movie_id", "sub_id", "n_files"), ["movie_id", "sub_id"])
     from pyspark.sql.window import Window
     w = Window.partitionBy("movie_id", "sub_id").orderBy("file_id", "link")

@@ -59,14 +59,17 @@ def test_set_summary(test: DataFrame) -> DataFrame:
 def rmse(predictions: DataFrame, ratings: DataFrame, test: DataFrame | None = None) -> DataFrame:
     """RMSE of the integer predictions, with coverage.
 
-    Grouped by ``algorithm`` when that column is present.  Error rows do not
-    count; a set without predictions scores 0.  ``coverage`` = n_pred / n_test.
+    Grouped by ``algorithm`` when that column is present (an algorithm without
+    predictions has no row; without the column an empty set scores 0).  A
+    prediction without an actual rating raises, as it has no error to count.
+    ``coverage`` = n_pred / n_test.
     """
     keys = ["algorithm"] if "algorithm" in predictions.columns else []
     p = predictions.select(*keys, "movie_id", "user_id", "prediction")
     j = p.join(ratings.select("movie_id", "user_id", F.col("rating").alias("actual")),
-               ["movie_id", "user_id"])
-    d = (F.col("actual") - F.col("prediction")).cast("double")
+               ["movie_id", "user_id"], "left")
+    actual = F.coalesce(F.col("actual"), F.raise_error(F.lit("prediction without an actual rating")).cast("int"))
+    d = (actual - F.col("prediction")).cast("double")
     agg = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"),
                                F.coalesce(F.sqrt(F.avg(d * d)), F.lit(0.0)).alias("rmse"))
     if test is not None:

@@ -1,36 +1,42 @@
 """Join helpers: size-checked broadcast and lineage cuts.
 
-``sized_broadcast`` counts a join side (one job) and hints a broadcast only
-when the count is under ``reelrank.broadcast.maxRows`` (session conf,
-default 2,000,000 rows); otherwise the DataFrame is returned untouched and
-Spark plans a shuffle join (sort-merge, with AQE's skew split).  The count
-is the proven size bound; materialise (``materialize``) an input first when
-it is expensive to recompute.
+``fits_broadcast`` counts a join side and multiplies by its estimated row
+width; only a side under ``reelrank.broadcast.maxBytes`` (session conf, default
+64 MB) is hinted.  Otherwise the DataFrame is left untouched and Spark plans
+by its own statistics, with AQE's skew split.  The count moves one number per task, never
+rows.  Materialise (``materialize``) an input first when it is expensive to recompute.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DEFAULT_MAX_ROWS = 2_000_000
+DEFAULT_MAX_BYTES = 64 << 20
+#: Bytes of a value in a broadcast row, by type; others (strings, arrays) count 64.
+_WIDTH = {T.BooleanType: 8, T.ByteType: 8, T.ShortType: 8, T.IntegerType: 8, T.LongType: 8, T.FloatType: 8,
+          T.DoubleType: 8, T.DateType: 8, T.TimestampType: 8}
 
 
-def max_broadcast_rows(df: DataFrame) -> int:
-    v = df.sparkSession.conf.get("reelrank.broadcast.maxRows", None)
-    return int(v) if v else DEFAULT_MAX_ROWS
+def max_broadcast_bytes(df: DataFrame) -> int:
+    v = df.sparkSession.conf.get("reelrank.broadcast.maxBytes", None)
+    return int(v) if v else DEFAULT_MAX_BYTES
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Estimated bytes of a row in a hash relation."""
+    return 24 + sum(_WIDTH.get(type(f.dataType), 64) for f in df.schema.fields)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (counted, stops early)."""
-    limit = max_broadcast_rows(df) if max_rows is None else max_rows
-    if limit <= 0:
-        return False
-    return df.limit(limit + 1).count() <= limit
+    """True if all rows of ``df`` take at most the bound (or are at most ``max_rows``)."""
+    limit = max_broadcast_bytes(df) // row_bytes(df) if max_rows is None else max_rows
+    return limit > 0 and df.count() <= limit
 
 
 def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``."""
+    """``broadcast(df)`` if it has a size under the bound, else ``df``."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 

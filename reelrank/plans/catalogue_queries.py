@@ -106,11 +106,11 @@ req AS (
     (SELECT regexp_replace(imdb_id, '^0+', '') FROM id_map))"""
 
 BEST = """sets AS (
-  SELECT movie_id, sub_id, sum_cd, count(*) AS n_files FROM req WHERE sub_format = 'srt'
-  GROUP BY movie_id, sub_id, sum_cd),
+  SELECT movie_id, sub_id, min(sum_cd) AS sum_cd, max(sum_cd) AS max_cd, count(*) AS n_files
+  FROM req WHERE sub_format = 'srt' GROUP BY movie_id, sub_id),
 bestset AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY sum_cd, sub_id) AS rn FROM sets) x
-  WHERE rn = 1 AND n_files = sum_cd),
+  WHERE rn = 1 AND n_files = sum_cd AND sum_cd = max_cd),
 best AS (
   SELECT r.movie_id, r.sub_id, CAST(b.n_files AS INTEGER) AS n_files,
          CAST(row_number() OVER (PARTITION BY r.movie_id, r.sub_id ORDER BY r.file_id, r.link) AS INTEGER) AS pos,

@@ -50,7 +50,7 @@ def ratings(spark: SparkSession, d: str) -> DataFrame:
 
 def id_map(spark: SparkSession, d: str) -> DataFrame:
     """id_map(imdb_id STRING, netflix_id BIGINT, year INT, title STRING)."""
-    p = table(spark, d, "part").where(F.col("p_partkey") > 0)
+    p = table(spark, d, "part")
     key = F.col("p_partkey").cast("string")
     padded = F.when(F.length(key) >= 7, key).otherwise(F.lpad(key, 7, "0"))
     return p.select(padded.alias("imdb_id"),
@@ -59,10 +59,12 @@ def id_map(spark: SparkSession, d: str) -> DataFrame:
                     F.col("p_name").alias("title"))
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """corpus(movie_id STRING, text STRING): English documents by external id."""
-    return (table(spark, d, "documents").where(F.col("lang") == "en")
-            .select(F.col("doc_id").cast("string").alias("movie_id"), "text"))
+def corpus(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
+    """corpus(movie_id STRING, text STRING): documents by external id, all of
+    them or those of one language."""
+    docs = table(spark, d, "documents")
+    docs = docs if lang is None else docs.where(F.col("lang") == lang)
+    return docs.select(F.col("doc_id").cast("string").alias("movie_id"), "text")
 
 
 def available(spark: SparkSession, d: str) -> DataFrame:

@@ -27,13 +27,13 @@ ID_MAP = """id_map AS (
   SELECT CASE WHEN length(CAST(p_partkey AS VARCHAR)) >= 7 THEN CAST(p_partkey AS VARCHAR)
               ELSE lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS imdb_id,
          p_partkey AS netflix_id, CAST(1970 + p_size AS INTEGER) AS year, p_name AS title
-  FROM part WHERE p_partkey > 0)"""
+  FROM part)"""
 
 AVAILABLE = """available AS (
-  SELECT CAST(doc_id AS VARCHAR) AS movie_id FROM documents WHERE lang = 'en')"""
+  SELECT CAST(doc_id AS VARCHAR) AS movie_id FROM documents)"""
 
 CORPUS = """corpus AS (
-  SELECT CAST(doc_id AS VARCHAR) AS movie_id, text FROM documents WHERE lang = 'en')"""
+  SELECT CAST(doc_id AS VARCHAR) AS movie_id, text FROM documents)"""
 
 TEST = """test AS (
   SELECT r.movie_id, r.user_id FROM ratings r

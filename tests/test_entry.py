@@ -48,9 +48,11 @@ def test_oracle_sf0001(spark, key):
 def test_shuffle_path_equals_broadcast_path(spark, key):
     q = E.queries()[key]
     a = sorted(map(tuple, q(spark, SF001).collect()))
-    spark.conf.set("reelrank.broadcast.maxRows", "0")
+    spark.conf.set("reelrank.broadcast.maxBytes", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         b = sorted(map(tuple, q(spark, SF001).collect()))
     finally:
-        spark.conf.unset("reelrank.broadcast.maxRows")
+        spark.conf.unset("reelrank.broadcast.maxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert a == b and len(a) > 0

@@ -115,12 +115,14 @@ def test_pair_stats_without_broadcast_matches(spark):
     t = _f_test(r)
     cand = rt.corater_candidates(r, t)
     a = rt.pair_stats(r, cand)
-    spark.conf.set("reelrank.broadcast.maxRows", "0")
+    spark.conf.set("reelrank.broadcast.maxBytes", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         b = rt.pair_stats(r, cand)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     finally:
-        spark.conf.unset("reelrank.broadcast.maxRows")
+        spark.conf.unset("reelrank.broadcast.maxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_half_even_rounding(spark):
