@@ -158,3 +158,13 @@ def test_shingle_sets_hold_every_shingle(spark):
     df = spark.createDataFrame([(x,) for x in lines], "l string")
     sizes = [r[0] for r in df.select(F.size(linededup.shingle_set(F.col("l")))).collect()]
     assert sizes == [len({x[i:i + 8] for i in range(max(1, len(x) - 7))}) for x in lines]
+
+
+def test_lines_of_few_shingles_repeated_are_compared(spark):
+    lines = ["Onaterth Onion " * 500, "Onaterth Onion " * 501, "Tion " * 1200, "Tion " * 1201 + "Tio", "ab" * 9000, "short"]
+    lines += [" ".join(f"{i}w{j}" for j in range(300)) for i in range(4)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    found = linededup.lines_of(df, "doc_id", "text")
+    assert linededup.signatures(found, linededup.SHINGLE, 27).count() == len(lines)
+    out = sorted(r.doc_id for r in linededup.dedup_lines(df, "doc_id", "text").collect())
+    assert out == [0, 2, 4, 5, 6, 7, 8, 9]
