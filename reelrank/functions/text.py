@@ -6,6 +6,8 @@ inside whole-stage codegen.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,9 +90,18 @@ def drop_scripts(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
 
 
-def paragraphs(html: Column) -> Column:
-    """trimmed text of every <p> element (tags inside removed)."""
-    ps = F.regexp_extract_all(drop_scripts(html), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
+def paragraphs(html: Column, css_class: str | None = None) -> Column:
+    """trimmed text of every <p> element (tags inside removed), or of those
+    that bear ``css_class`` among the names of their class attribute."""
+    if css_class is None:
+        pattern = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
+    else:
+        if not re.fullmatch(r"[^\s\"'<>=\\]+", css_class):
+            raise ValueError(f"not a class name: {css_class!r}")
+        name = rf"\Q{css_class}\E"
+        value = rf"(?:\"(?:[^\"]*\s)?{name}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{name}(?:\s[^']*)?'|{name}(?=[\s>]))"
+        pattern = rf"(?s)<[pP](?=\s)(?=[^>]*\s(?i:class)\s*=\s*{value})[^>]*>(.*?)</[pP]>"
+    ps = F.regexp_extract_all(drop_scripts(html), F.lit(pattern), 1)
     return F.transform(ps, lambda x: F.regexp_replace(
         unescape_entities(F.regexp_replace(x, TAG, "")), r"^\s+|\s+$", ""))
 

@@ -71,6 +71,15 @@ def test_page_extraction(spark):
     assert r.s == "Syn \nopsis\n text"
 
 
+def test_paragraphs_of_a_class(spark):
+    html = ("<p class='a plot'>one</p><P CLASS=plot id=x>two</P><p class=\"plots\">no</p><p data-x=\"plot\">no</p>"
+            "<pre class=\"plot\">no</pre><p class=\"Plot\">no</p><p>no</p><p id=y class=\"plot b\">th<b>re</b>e</p>")
+    df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    got = [r.p for r in df.select(tx.paragraphs(F.col("html"), "plot").alias("p")).collect()]
+    assert got == [["one", "two", "three"], None, []]
+    assert df.select(F.size(tx.paragraphs(F.col("html"))).alias("n")).first().n == 7
+
+
 def test_plots_empty_page_gives_empty_array(spark):
     df = spark.createDataFrame([(1, "<html></html>")], "page_id int, html string")
     r = sc.plots(df).first()
