@@ -118,19 +118,15 @@ def q_most_similar(spark, d):
 
 
 def all_predictions(spark, d, r=None, t=None):
-    """The three algorithms' predictions; GroupLens and SHW share
-    one checkpointed pair-features table."""
+    """The three algorithms' predictions through the registry (U1);
+    GroupLens and SHW share one checkpointed pair-features table."""
     from ..operators.joins import materialize
     r = ratings(spark, d) if r is None else r
     t = test_set(spark, d, r) if t is None else t
     f = materialize(rt.pair_features(r, t))
-    gl = rc.group_lens(r, t, features=f).select(F.lit("group_lens").alias("algorithm"),
-                                                "movie_id", "user_id", "raw", "prediction")
-    sh = rc.shw(r, t, features=f).select(F.lit("shw").alias("algorithm"), "movie_id",
-                                         "user_id", "raw", "prediction")
-    ms = rc.most_similar(r, t, fx.id_map(spark, d), neighbours_for_test(spark, d, t=t)).select(
-        F.lit("most_similar").alias("algorithm"), "movie_id", "user_id", "raw", "prediction")
-    return gl.unionByName(sh).unionByName(ms)
+    return rc.run_algorithms(r, t, {
+        "group_lens": {"features": f}, "shw": {"features": f},
+        "most_similar": {"id_map": fx.id_map(spark, d), "neighbours": neighbours_for_test(spark, d, t=t)}})
 
 
 def q_predictions_all(spark, d):
