@@ -168,3 +168,22 @@ def test_lines_of_few_shingles_repeated_are_compared(spark):
     assert linededup.signatures(found, linededup.SHINGLE, 27).count() == len(lines)
     out = sorted(r.doc_id for r in linededup.dedup_lines(df, "doc_id", "text").collect())
     assert out == [0, 2, 4, 5, 6, 7, 8, 9]
+
+
+def test_signatures_depend_on_the_shingle_set_alone(spark):
+    import random
+
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(200)).replace("  ", "a ") for _ in range(40)]
+    base = [x.strip().ljust(200, "z") for x in base]
+    # a period repeated has the same shingles however often, with its first characters behind it
+    lines = [(i, k, x * k + x[:7]) for i, x in enumerate(base) for k in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(i * 10 + k, x) for i, k, x in lines], "doc_id long, text string")
+    found = linededup.lines_of(df, "doc_id", "text")
+    sig = {r["_rr_h"]: tuple(r["_rr_m"]) for r in linededup.signatures(found, linededup.SHINGLE, 27).collect()}
+    of = {r["_rr_id"]: sig[r["_rr_h"]] for r in found.collect()}
+    assert all(of[i * 10 + k] == of[i * 10 + 1] for i, k, _ in lines)
+    # repeated, and a few characters changed: one line of each is kept
+    docs = [(i * 10 + k, x * k + (x[:7] if k == 1 else x[:7] + "#!" * k)) for i, x in enumerate(base) for k in (1, 2, 3, 4)]
+    out = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {(r.doc_id, 0) for r in out} == _brute(docs) == {(i * 10 + 1, 0) for i in range(40)}
