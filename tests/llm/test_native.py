@@ -187,3 +187,12 @@ def test_signatures_depend_on_the_shingle_set_alone(spark):
     docs = [(i * 10 + k, x * k + (x[:7] if k == 1 else x[:7] + "#!" * k)) for i, x in enumerate(base) for k in (1, 2, 3, 4)]
     out = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
     assert {(r.doc_id, 0) for r in out} == _brute(docs) == {(i * 10 + 1, 0) for i in range(40)}
+
+
+def test_short_lines_against_brute_force(spark):
+    lines = [f"Chapter {i}" for i in range(100, 140)] + [f"Page {i} of {j}" for i in range(10, 16) for j in range(60, 66)]
+    lines += [f"Section {i}.{j}" for i in range(1, 9) for j in range(10, 15)]
+    docs = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, f"{x}.") for i, x in enumerate(lines)]
+    assert {len(x) for _, x in docs} <= set(range(9, 21))
+    out = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {(r.doc_id, 0) for r in out} == _brute(docs)
