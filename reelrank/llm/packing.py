@@ -15,6 +15,7 @@ per-(source, partition) sums, a piece's place on the tape from per-round-block s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,13 @@ CACHE_ROWS = 400_000
 
 class ByteBpe:
     """Token ids of whole texts, equal to those of the ``tokenizers`` file at
-    ``path`` without special tokens.
+    ``path`` with ``add_special_tokens=False``.  ``tiktoken`` does the merges.
 
-    A text is cut at spaces; the pre-tokenizer never joins what stands on both
+    A text is cut at the file's added tokens first, which stand for their ids.
+    What lies between them is cut at spaces; the pre-tokenizer never joins what stands on both
     sides of a single space unless whitespace follows it, so the ids of a
-    chunk (with its space) can be remembered.  Texts with whitespace after
-    a space are encoded in one go.
+    chunk (with its space) can be remembered.  What has whitespace after
+    a space is encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -52,20 +54,37 @@ class ByteBpe:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model["added_tokens"]}
+        added = {t["content"]: t["id"] for t in model["added_tokens"]}
+        if model.get("normalizer") or any(t.get(k) for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: a normalizer, or added tokens that don't stand for themselves alone")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         of_char = {chr(b): b for b in shown}
         of_char.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))})
-        ranks = {bytes(of_char[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(of_char[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in added}
         self.encode = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN,
                                         mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks: dict[str, bytes] = {}
+        self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
+        # the longest of those that begin at one place
+        self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._plain(text[at:m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if not text:
             return b""
         parts = text.split(" ")

@@ -102,6 +102,22 @@ def test_token_ids_equal_the_tokenizer_file():
             assert np.frombuffer(encode(x), "<u4").tolist() == want, repr(x)
 
 
+def test_added_tokens_in_a_text_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    t = Tokenizer.from_file(path)
+    encode = packing.ByteBpe(path)
+    end = "<|endoftext|>"
+    texts = [end, f"end of one {end} start of two", f"{end}{end}", f" {end} ", f"a{end}b", f"x  {end}  y", f"\n{end}\n\n z", f"<|{end}|>", "<|endoftext|"]
+    rng = random.Random(15)
+    texts += ["".join(rng.choice(["a", "B", " ", "\n", "'s", "9", "ü", end, "<|", "|>"]) for _ in range(30)) for _ in range(200)]
+    for _ in range(2):
+        for x in texts:
+            want = t.encode(x, add_special_tokens=False).ids
+            assert np.frombuffer(encode(x), "<u4").tolist() == want, repr(x)
+
+
 def _check_pack(pieces, n_tokens):
     by_doc, by_seq = {}, {}
     for r in pieces:
