@@ -71,14 +71,16 @@ def blocked_groups(rows: DataFrame, keys: Sequence[str], id_col: str, block: int
     ``block`` is cut into blocks by a hash of ``id_col`` and every row goes to
     the units of its block with each other block, so that any two rows of the
     group meet in exactly one unit and no unit holds more than about two
-    blocks of a group.  Small groups share a unit.  Adds ``_rr_b`` (the row's
+    blocks of a group.  Small groups share a unit, of about ``rows_per_unit``
+    dealt rows however large a group is.  Adds ``_rr_b`` (the row's
     block), ``_rr_lo``, ``_rr_hi`` (the unit's blocks) and ``_rr_unit``.
     """
     sizes = (rows.groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("_rr_size"), F.max(need if need else F.lit(True)).alias("_rr_need"))
              .where("_rr_size > 1 and _rr_need").drop("_rr_need"))
     sizes = materialize(sizes)
-    total = sizes.agg(F.sum("_rr_size")).first()[0] or 0
+    # a row goes to as many units as its group has blocks
+    total = sizes.agg(F.sum(F.col("_rr_size") * F.ceil(F.col("_rr_size") / F.lit(block)))).first()[0] or 0
     units = max(1, -(-int(total) // rows_per_unit))
     dealt = (rows.join(sizes, list(keys))
              .withColumn("_rr_nb", F.ceil(F.col("_rr_size") / F.lit(block)).cast("int"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reelrank.llm import langid, neardup_embeddings, packing, simhash, topk, toxicity, warc
+from reelrank.llm import common, langid, neardup_embeddings, packing, simhash, topk, toxicity, warc
 from reelrank.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -254,6 +254,13 @@ def test_embedding_links_against_brute_force(spark):
     assert neardup_embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_units_stay_bounded_in_a_large_group(spark):
+    rows = spark.range(3000).select((F.col("id") % 50 == 0).cast("int").alias("key"), F.col("id").alias("v"))
+    dealt = common.blocked_groups(rows, ["key"], "v", 32, rows_per_unit=200)
+    sizes = [r["count"] for r in dealt.groupBy("_rr_unit").count().collect()]
+    assert sum(sizes) == 2940 * 92 + 60 * 2 and max(sizes) < 1000
+
+
 def test_hadamard_is_orthogonal():
     h = neardup_embeddings.hadamard(np.eye(16))
     assert np.array_equal(h @ h.T, 16 * np.eye(16))
