@@ -4,7 +4,10 @@ The writer makes one gzip member per record; records whose payload equals an
 earlier one are ``revisit`` records that refer to it.  The reader checks every
 member and record (gzip CRC, header, length, digests); where a check fails it
 searches for the next byte at which a valid member or version line begins,
-goes on from there, and logs the bytes between as a quarantined gap.
+goes on from there, and logs the bytes between as a quarantined gap.  Within a
+member it searches the content for the next version line, up to the damage if the
+member is damaged; of a member with broken data or checksum only records
+whose digest holds are taken.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ _GZ = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 _END = b"\r\n\r\n"
+#: Compressed bytes taken at a time: the first, and the most.
+STEPS = 1 << 12, 1 << 20
+DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
 
 
 def digest(data: bytes) -> str:
@@ -36,6 +42,18 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def check_digest(said: str | None, data: bytes) -> bool | None:
+    """Whether a digest, in hex or base32, holds; None if its algorithm is unknown or there is none."""
+    label, _, value = (said or "").strip().rpartition(":")
+    label, value = label.strip().lower().replace("-", ""), value.strip()
+    if not label and re.fullmatch("[0-9a-fA-F]{40}|[2-7a-zA-Z]{32}", value):
+        label = "sha1"
+    if label not in DIGESTS:
+        return None
+    true = hashlib.new(label, data).digest()
+    return value.lower() == true.hex() or value.rstrip("=").upper() == base64.b32encode(true).decode().rstrip("=")
+
+
 def record_bytes(kind: str, page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
     """One WARC record, uncompressed.  A revisit holds the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -67,7 +85,9 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict, int] | None:
-    """The record that begins at ``at`` and the byte after it; None if a check fails."""
+    """The record that begins at ``at`` and the byte after it; None if a check
+    fails.  ``checked`` says whether a digest of a known algorithm held; a SHA-1 in
+    ``digest`` is bare upper-case base32, others are as given."""
     if not _VERSION.match(data, at):
         return None
     cut = data.find(_END, at)
@@ -81,74 +101,111 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | None:
     block = data[begin:end]
     if len(block) != int(length) or data[end:end + 4] != _END:
         return None
-    said = h.get("warc-block-digest")
-    if said and said != f"sha1:{digest(block)}":
+    block_ok = check_digest(h.get("warc-block-digest"), block)
+    if block_ok is False:
         return None
     rec = {"type": h.get("warc-type"), "id": h.get("warc-record-id"), "uri": h.get("warc-target-uri"),
-           "refers_to": h.get("warc-refers-to"), "digest": (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None}
+           "refers_to": h.get("warc-refers-to"), "digest": _bare(h.get("warc-payload-digest"))}
     payload, n = block, len(block)
     if h.get("content-type", "").startswith("application/http"):
         http, sep, payload = block.partition(_END)
         n = _headers(http).get("content-length", "")
         n = int(n) if n.isascii() and n.isdigit() else len(payload)
+    payload_ok = None
     if rec["type"] == "revisit":
         payload = None
-    elif rec["digest"] and rec["digest"] != digest(payload):
-        return None
     elif rec["digest"] is None:
         rec["digest"] = digest(payload)
-    return rec | {"payload": payload, "payload_bytes": n}, end + 4
+    else:
+        payload_ok = check_digest(h["warc-payload-digest"], payload)
+        if payload_ok is False:
+            return None
+    return rec | {"payload": payload, "payload_bytes": n, "checked": bool(block_ok or payload_ok)}, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at ``at`` and the byte after it; None if broken."""
-    d = zlib.decompressobj(31)
-    try:
-        out = d.decompress(memoryview(data)[at:])
-        if not d.eof:
-            return None
-    except zlib.error:
-        return None
-    return out, len(data) - len(d.unused_data)
+def _bare(said: str | None) -> str | None:
+    label, _, value = (said or "").strip().rpartition(":")
+    if label.strip().lower().replace("-", "") not in ("", "sha1"):
+        return said
+    value = value.strip()
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return base64.b32encode(bytes.fromhex(value)).decode()
+    return (value.upper() if re.fullmatch("[2-7a-zA-Z]{32}", value) else value) or None
 
 
-def _unit(data: bytes, at: int) -> tuple[list[dict], int] | None:
-    """All records of the member at ``at``, or the plain record there."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Of the gzip member at ``at``: its content, up to the damage if there is
+    any, the byte after that, and ``whole``, ``cut`` (the archive ends in it) or ``broken``."""
+    view, d, out, step = memoryview(data), zlib.decompressobj(31), [], STEPS[0]
+    while at < len(data):
+        before = d.copy()
+        try:
+            out.append(d.decompress(view[at:at + step]))
+        except zlib.error:
+            # once more, byte by byte, as the call that fails gives nothing
+            for at in range(at, min(len(data), at + step)):
+                try:
+                    out.append(before.decompress(view[at:at + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at + 1, "broken"
+        at = min(len(data), at + step)
+        if d.eof:
+            return b"".join(out), at - len(d.unused_data), "whole"
+        step = min(2 * step, STEPS[1])
+    return b"".join(out) + d.flush(), at, "cut"
+
+
+def _content(inner: bytes, state: str) -> Iterator[dict]:
+    """Records and gaps of a member's content.  A gap has ``inner_offset`` and
+    ``inner_length``, its bytes in the content; the last of a damaged member may have none."""
+    pos = bad = 0
+    while pos < len(inner):
+        one = parse_record(inner, pos)
+        if one is None or state == "broken" and not one[0]["checked"]:
+            m = _VERSION.search(inner, pos + 1)
+            pos = m.start() if m else len(inner)
+            continue
+        if pos > bad:
+            yield {"kind": "gap", "inner_offset": bad, "inner_length": pos - bad}
+        yield one[0] | {"kind": "record"}
+        pos = bad = one[1]
+    if pos > bad or state != "whole":
+        yield {"kind": "gap", "inner_offset": bad, "inner_length": pos - bad}
+
+
+def _unit(data: bytes, at: int) -> tuple[list[dict], int, bool]:
+    """Records and gaps of the member at ``at``, or the plain record there; the
+    byte after it, or from which to search on; and whether it holds a record or is an empty member."""
     if data[at:at + 3] == _GZ:
-        got = _member(data, at)
-        if got is None:
-            return None
-        inner, end = got
-        recs, pos = [], 0
-        while pos < len(inner):
-            one = parse_record(inner, pos)
-            if one is None:
-                return None
-            recs.append(one[0])
-            pos = one[1]
-        return recs, end
+        inner, end, state = _member(data, at)
+        rows = list(_content(inner, state))
+        if any(r["kind"] == "record" for r in rows) or not rows:
+            return rows, end, True
+        return [], end if state == "whole" else at + 1, False
     one = parse_record(data, at)
-    return one and ([one[0]], one[1])
+    return ([one[0] | {"kind": "record"}], one[1], True) if one else ([], at + 1, False)
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive in order, with ``kind`` ``record`` or ``gap``,
-    ``offset`` and ``length`` (bytes in the archive)."""
-    at = 0
+    ``offset`` and ``length`` (bytes in the archive).  What lies in a member has the
+    member's ``offset`` and ``length``, a gap there also its place in the content
+    (``inner_offset``, ``inner_length``)."""
+    at = bad = 0
     while at < len(data):
-        got, bad = _unit(data, at), at
-        while got is None:
-            m = _START.search(data, at + 1)
-            if m is None:
-                yield {"kind": "gap", "offset": bad, "length": len(data) - bad}
-                return
-            at = m.start()
-            got = _unit(data, at)
+        rows, end, good = _unit(data, at)
+        if not good:
+            m = _START.search(data, end)
+            at = m.start() if m else len(data)
+            continue
         if at > bad:
             yield {"kind": "gap", "offset": bad, "length": at - bad}
-        for rec in got[0]:
-            yield rec | {"kind": "record", "offset": at, "length": got[1] - at}
-        at = got[1]
+        for r in rows:
+            yield r | {"offset": at, "length": end - at}
+        at = bad = end
+    if at > bad:
+        yield {"kind": "gap", "offset": bad, "length": at - bad}
 
 
 def _page(name: str | None) -> str | None:
@@ -228,13 +285,14 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     One row per record (``kind`` ``record``) or quarantined gap (``gap``):
     ``file``, ``offset``, ``length``, ``record_type``, ``record_id``, ``uri``,
-    ``refers_to``, ``payload_digest``, ``payload_bytes``, ``payload``.  A file
-    is one task's work, at most 2 GB.
+    ``refers_to``, ``payload_digest``, ``payload_bytes``, ``payload``, and of a
+    gap within a member ``inner_offset`` and ``inner_length`` (see ``salvage``).  A
+    file is one task's work, at most 2 GB.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content"))
     names = ["kind", "file", "offset", "length", "record_type", "record_id", "uri", "refers_to", "payload_digest",
-             "payload_bytes", "payload"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
+             "payload_bytes", "payload", "inner_offset", "inner_length"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,7 +301,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 for r in salvage(b.column(1)[i].as_py()):
                     body = r.get("payload") if with_payload else None
                     out.append((r["kind"], file, r["offset"], r["length"], r.get("type"), r.get("id"), r.get("uri"),
-                                r.get("refers_to"), r.get("digest"), r.get("payload_bytes"), body))
+                                r.get("refers_to"), r.get("digest"), r.get("payload_bytes"), body,
+                                r.get("inner_offset"), r.get("inner_length")))
                     size += len(body or b"") + 500
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
@@ -253,7 +312,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     return files.mapInArrow(run, "kind string, file string, offset long, length long, record_type string, "
                             "record_id string, uri string, refers_to string, payload_digest string, "
-                            "payload_bytes long, payload binary")
+                            "payload_bytes long, payload binary, inner_offset long, inner_length long")
 
 
 def page_number(urn: str):

@@ -210,6 +210,65 @@ def test_salvage_goes_on_after_damage():
     assert sum(r["length"] for r in out) == len(plain) and list(warc.salvage(b"")) == []
 
 
+def _ids(rows):
+    return [r["id"][10:-1] for r in rows if r["kind"] == "record"]
+
+
+def test_salvage_searches_on_inside_a_member():
+    rng = random.Random(16)
+    recs = [warc.record_bytes("response", i, f"http://x/{i}", rng.randbytes(900)) for i in range(6)]
+    bad = bytearray(recs[2])
+    bad[-50] ^= 1
+    whole = warc.member(b"".join([*recs[:2], bytes(bad), *recs[3:]]))
+    out = list(warc.salvage(whole + warc.member(recs[5])))
+    assert _ids(out) == list("013455")
+    gaps = [r for r in out if r["kind"] == "gap"]
+    assert [(r["offset"], r["length"], r["inner_offset"], r["inner_length"]) for r in gaps] == [
+        (0, len(whole), len(recs[0]) + len(recs[1]), len(recs[2]))]
+    # cut off, wrong checksum, broken data: the records before the damage, and those of the next member
+    whole = warc.member(b"".join(recs))
+    assert _ids(warc.salvage(whole[:len(whole) * 2 // 3])) == list("012")
+    assert any(r["kind"] == "gap" for r in warc.salvage(whole[:-3]))
+    assert _ids(warc.salvage(whole[:-3])) == list("012345")
+    crc = bytearray(whole)
+    crc[-8] ^= 1
+    out = list(warc.salvage(bytes(crc) + warc.member(recs[0])))
+    assert _ids(out) == list("0123450") and any(r["kind"] == "gap" for r in out)
+    c = zlib.compressobj(9, zlib.DEFLATED, 31)
+    head = b"".join(c.compress(r) + c.flush(zlib.Z_FULL_FLUSH) for r in recs[:3])
+    broken = head + b"\xff" * 40 + c.compress(recs[3]) + c.flush()
+    assert _ids(warc.salvage(broken + warc.member(recs[4]))) == list("0124")
+    # without a digest nothing vouches for a record of a member with a wrong checksum
+    bare = b"\r\n".join(x for x in recs[0].split(b"\r\n") if b"-Digest" not in x)
+    crc = bytearray(warc.member(bare))
+    assert _ids(warc.salvage(bytes(crc))) == ["0"]
+    crc[-8] ^= 1
+    assert _ids(warc.salvage(bytes(crc))) == []
+
+
+def test_digests_of_other_kinds():
+    import base64
+    import hashlib
+
+    rec = warc.record_bytes("response", 1, "http://x", b"payload")
+    body = rec.partition(b"\r\n\r\n")[2][:-4]
+    old = (f"WARC-Payload-Digest: sha1:{warc.digest(b'payload')}", f"WARC-Block-Digest: sha1:{warc.digest(body)}")
+
+    def read(payload, block):
+        x = rec.replace(old[0].encode(), f"WARC-Payload-Digest: {payload}".encode()).replace(old[1].encode(), f"WARC-Block-Digest: {block}".encode())
+        return [r for r in warc.salvage(warc.member(x)) if r["kind"] == "record"]
+
+    for name in ("sha1", "sha256", "md5", "SHA-512"):
+        h = lambda b: hashlib.new(name.lower().replace("-", ""), b)  # noqa: B023, E731
+        for form in (lambda d: d.hex(), lambda d: d.hex().upper(), lambda d: base64.b32encode(d).decode(),
+                     lambda d: base64.b32encode(d).decode().lower().rstrip("=")):
+            good = [f"{name}:{form(h(b).digest())}" for b in (b"payload", body)]
+            assert [r["payload"] for r in read(*good)] == [b"payload"], good
+            assert not read(good[0], f"{name}:{form(h(b'else').digest())}") and not read(f"{name}:{form(h(b'else').digest())}", good[1])
+    assert read("sha1:" + hashlib.sha1(b"payload").hexdigest(), "blake9:00")[0]["digest"] == warc.digest(b"payload")
+    assert read("xyz:1", "blake9:00")[0]["digest"] == "xyz:1"
+
+
 def test_warc_odd_rows_round_trip(spark):
     rows = [(None, "u", "same", 1), (4, None, "same", 1), (2, "http://é x", "same", 1), (2, "v", "same", 1), (9, "w", None, 1),
             (8, "w", "", 1), (7, "w", "é" * 100000, 1)]
