@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (common, langid, linededup, mixing, neardup_embeddings, packing, sharding, simhash, topk, toxicity, warc)
+from . import (chat, common, langid, linededup, mixing, neardup_embeddings, packing, sharding, simhash, topk, toxicity, warc)
 
 SHARDS = 8
 
@@ -67,6 +67,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "doc_id", "text", "toxic")
 
 
+#: Conversation -7: its texts hold every kind of control string of its template and a backslash.
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = common.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit(PLANTED).alias("text"))
+    got = chat.read_back(chat.format_conversations(talks.unionByName(planted)))
+    return got.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -105,6 +123,30 @@ SELECT doc_id, size, text_crc32, 'key' AS law, cast(shard AS INTEGER) AS shard,
 FROM s"""
 
 
+def _oracle_op13() -> str:
+    """The digests straight from the rows; only the formatted length needs the template."""
+    def escaped(col: str, codes: dict[str, str]) -> str:
+        out = f"replace({col}, chr(92), chr(92) || 'b')"
+        for mark, code in codes.items():
+            out = f"replace({out}, '{mark}', chr(92) || '{code[1]}')"
+        return out
+
+    text, role = escaped("text", chat.CODES), escaped("role", chat.ROLE_CODES)
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+-- equal neighbours of one role share a block: a part mark instead of an end and a head
+l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN len(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  sum(len({text}) + CASE WHEN before = role THEN {len(chat.PART)}
+      ELSE {len(chat.HEAD) + len(chat.SEP) + len(chat.END) + 1} + len({role}) END)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     word = r"[^\x20\x09-\x0D]+"
     return {
@@ -160,6 +202,7 @@ SELECT doc_id, size, source_size, target,
   cast(size * (whole + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END)
     AS BIGINT) AS taken
 FROM t""",
+        "op13_chat_format": _oracle_op13(),
         "op8_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding::DOUBLE[], lambda e: floor(e * 256)) AS x FROM embeddings
