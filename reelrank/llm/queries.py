@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, common, langid, linededup, mixing, neardup_embeddings, packing, sharding, simhash, topk, toxicity, warc)
+from . import (chat, common, kmeans, langid, linededup, mixing, neardup_embeddings, packing, sharding, simhash, topk, toxicity, warc)
 
 SHARDS = 8
 
@@ -67,6 +67,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "doc_id", "text", "toxic")
 
 
+def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(common.read_table(spark, sf_dir, "embeddings"))
+
+
 #: Conversation -7: its texts hold every kind of control string of its template and a backslash.
 PLANTED = "\\### Assistant: </turn> ok"
 
@@ -123,6 +127,34 @@ SELECT doc_id, size, text_crc32, 'key' AS law, cast(shard AS INTEGER) AS shard,
 FROM s"""
 
 
+def _oracle_op11() -> str:
+    """The rounds written out, every vector against every centroid."""
+    def assigned(r: int) -> str:
+        return f"""
+a{r} AS (SELECT vec_id, x, c, d FROM (
+  SELECT v.vec_id, v.x, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - k.x[i]) * (v.x[i] - k.x[i]))) AS d,
+    row_number() OVER (PARTITION BY v.vec_id ORDER BY d, k.c) AS rn
+  FROM kept v, c{r} k) WHERE rn = 1)"""
+
+    rounds = "".join(f"""{assigned(r)},
+m{r} AS (SELECT c, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r}, range(1, 65) t(i) GROUP BY c, i),
+c{r + 1} AS (SELECT k.c, coalesce(m.x, k.x) AS x FROM c{r} k LEFT JOIN (
+  -- floor(s / n) in integers
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM m{r} GROUP BY c) m USING (c)),"""
+                     for r in range(kmeans.ROUNDS))
+    end = kmeans.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda e: floor(e * 64)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {kmeans.DIM}
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
+  SELECT sha256('1:' || coalesce(vec_id::VARCHAR, 'null')) AS h, x FROM kept ORDER BY h, x LIMIT {kmeans.K})),{rounds}{assigned(end)}
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a{end} JOIN c{end} k USING (c)"""
+
+
 def _oracle_op13() -> str:
     """The digests straight from the rows; only the formatted length needs the template."""
     def escaped(col: str, codes: dict[str, str]) -> str:
@@ -202,6 +234,7 @@ SELECT doc_id, size, source_size, target,
   cast(size * (whole + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END)
     AS BIGINT) AS taken
 FROM t""",
+        "op11_shallot_clusters": _oracle_op11(),
         "op13_chat_format": _oracle_op13(),
         "op8_topk_search": """
 WITH v AS (
