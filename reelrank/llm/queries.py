@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, common, kmeans, langid, linededup, mixing, neardup_embeddings, packing, sharding, simhash, topk, toxicity, warc)
+from . import (chat, common, kmeans, langid, linededup, mixing, neardup_embeddings, packing, sharding, simhash, topk, toxicity, warc,
+               whitening)
 
 SHARDS = 8
 
@@ -71,6 +72,10 @@ def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.cluster(common.read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.read_table(spark, sf_dir, "embeddings"))
+
+
 #: Conversation -7: its texts hold every kind of control string of its template and a backslash.
 PLANTED = "\\### Assistant: </turn> ok"
 
