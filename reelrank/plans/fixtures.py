@@ -73,17 +73,21 @@ def available(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- text files re-expressed as line tables (source, line_no, value) ----------
-def rating_block_lines(spark: SparkSession, d: str) -> DataFrame:
+def rating_block_lines(spark: SparkSession, d: str, dirty: bool = False) -> DataFrame:
     """One rating-block "file" per movie: ``<movie>:`` then ``user,rating,date``
-    lines in event order."""
+    lines in event order.  ``dirty``: the four largest quantities make lines
+    without a date, with a field too many, with a rating in words, and blank ones."""
     from ..sources.lines import number_lines
 
     ev = rating_events(spark, d)
     src = F.concat(F.lit("mv_"), F.col("movie_id").cast("string"), F.lit(".txt"))
-    body = ev.select(src.alias("source"), F.lit(1).alias("k"), *EVENT_ORDER, "user_id",
-                     F.concat_ws(",", F.col("user_id").cast("string"),
-                                 F.col("rating").cast("string"),
-                                 F.date_format("rated_on", "yyyy-MM-dd")).alias("value"))
+    user, rating = F.col("user_id").cast("string"), F.col("rating").cast("string")
+    value = F.concat_ws(",", user, rating, F.date_format("rated_on", "yyyy-MM-dd"))
+    if dirty:
+        q = F.col("l_quantity")
+        value = (F.when(q == 50, F.concat_ws(",", user, rating)).when(q == 49, F.concat(value, F.lit(",x")))
+                 .when(q == 48, F.concat_ws(",", user, F.lit("five"), F.lit("-"))).when(q == 47, "").otherwise(value))
+    body = ev.select(src.alias("source"), F.lit(1).alias("k"), *EVENT_ORDER, "user_id", value.alias("value"))
     heads = ev.select("movie_id").distinct().select(
         src.alias("source"), F.lit(0).alias("k"),
         *[F.lit(None).cast(t).alias(c) for c, t in
@@ -106,17 +110,33 @@ def match_lines(spark: SparkSession, d: str) -> DataFrame:
     return number_lines(m, ["netflix_id"]).select("source", "line_no", "value")
 
 
-def title_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The title list: ``netflix_id,year,title`` for every part."""
+def title_lines(spark: SparkSession, d: str, dirty: bool = False) -> DataFrame:
+    """The title list: ``netflix_id,year,title`` for every part.  ``dirty``: the
+    largest sizes make lines without a comma, with a year in words and with a title no catalogue has."""
     from ..sources.lines import number_lines
 
-    p = table(spark, d, "part").select(
-        F.lit("movie_titles.txt").alias("source"), "p_partkey",
-        F.concat_ws(",", F.col("p_partkey").cast("string"),
-                    (F.lit(1970) + F.col("p_size")).cast("string"), "p_name").alias("value"))
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    value = F.concat_ws(",", key, (F.lit(1970) + size).cast("string"), "p_name")
+    if dirty:
+        value = (F.when(size == 50, key).when(size == 49, F.concat_ws(",", key, F.lit("unknown"), "p_name"))
+                 .when(size == 48, F.concat(value, F.lit(", the series"))).otherwise(value))
+    p = table(spark, d, "part").select(F.lit("movie_titles.txt").alias("source"), "p_partkey", value.alias("value"))
     return number_lines(p, ["p_partkey"]).select("source", "line_no", "value")
 
 
+def dirty_subs_lines(best: DataFrame) -> DataFrame:
+    """A subtitle list of ``best`` whose sets of two files declare three, those
+    of four declare three, and whose fifth files have lost their separator."""
+    from ..sinks.formats import subs_list_lines
+    from ..sources.parsers import subs_lines
+
+    lines = subs_lines(subs_list_lines(best))
+    value = (F.when(F.col("pos") == 5, F.replace(F.col("value"), F.lit("#"), F.lit(" ")))
+             .when((F.col("status") == "header") & F.col("n_files").isin(2, 4), F.regexp_replace("value", "[24]$", "3"))
+             .otherwise(F.col("value")))
+    return lines.select("source", "line_no", value.alias("value"))
+
+
 def subtitle_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Subtitle search results: each order is a subtitle set of its customer's
     "movie"; each line item one file of the set.  Declared CD count

@@ -77,31 +77,33 @@ def carry_forward(lines: DataFrame, header: Column, out: str = "header",
             .drop("_h", "_blk", "_local", "_carry"))
 
 
+#: Charsets whose line ends are the ASCII bytes the text reader splits at, by the names in use.
+_BYTE_LINES = {"iso-8859-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1",
+               "us-ascii": "US-ASCII", "ascii": "US-ASCII"}
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str | None = None,
                glob: str | None = None) -> DataFrame:
-    """S6/S13 base: every line of the files under ``path`` as a lines table.
+    """S6/S13 base: every line of the files under ``path`` as a lines table,
+    blank ones included.
 
-    UTF-8 text goes through the text reader; other encodings (e.g.
-    ISO-8859-1) through the CSV reader with a separator that cannot occur,
-    since the text reader ignores ``encoding``.  ``.gz`` files are decoded by
-    both readers.  Note the CSV reader drops blank lines.
+    The text reader splits bytes at ``\\n``, ``\\r\\n`` or ``\\r`` and ignores
+    ``encoding``; each line's bytes are decoded in a column, so files stay
+    splittable.  UTF-8, ISO-8859-1 and US-ASCII can be read so; others
+    are refused.  ``.gz`` files are decoded by the reader.
     """
-    if encoding and encoding.lower().replace("_", "-") not in ("utf-8", "utf8"):
-        r = (spark.read.option("encoding", encoding).option("sep", "\u0001")
-             .option("quote", "\u0000").option("escape", "\u0000")
-             .option("header", "false").option("ignoreLeadingWhiteSpace", "false")
-             .option("ignoreTrailingWhiteSpace", "false"))
-        if glob:
-            r = r.option("pathGlobFilter", glob)
-        raw = r.schema("value string").csv(path).na.fill("", ["value"])
-    else:
-        r = spark.read
-        if glob:
-            r = r.option("pathGlobFilter", glob)
-        raw = r.text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("source"),
-                     F.col("_metadata.file_block_start").alias("_block"),
-                     F.monotonically_increasing_id().alias("_pos"), "value")
+    value = F.col("value")
+    name = (encoding or "utf-8").lower().replace("_", "-")
+    if name not in ("utf-8", "utf8"):
+        if name not in _BYTE_LINES:
+            raise ValueError(f"no lines of {encoding}: read ISO-8859-1, US-ASCII or UTF-8")
+        value = F.decode(value.cast("binary"), _BYTE_LINES[name]).alias("value")
+    r = spark.read
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    raw = r.text(path).select(F.col("_metadata.file_path").alias("source"),
+                              F.col("_metadata.file_block_start").alias("_block"),
+                              F.monotonically_increasing_id().alias("_pos"), value)
     return number_lines(raw, ["_block", "_pos"]).select("source", "line_no", "value")
 
 
