@@ -17,15 +17,13 @@ the subtraction is exact).
 Scale notes
 -----------
 Pairs are never produced by a self-join of ratings on movie (that emits
-all rater pairs of a popular movie).  Instead each requested pair is
-oriented towards the user with *fewer* ratings, that user's ratings are
-joined on user id, and the partner's rating is fetched with an equi-join on
-the unique key (user, movie).  Work is bounded by
-``sum over pairs of min(deg u, deg v)``, the cost of an exact sparse
-intersection.  Aggregations are partial (map-side) before their shuffle.
-When the ratings table is under the broadcast bound (counted, see
-:mod:`joins`) both lookups are broadcast hash joins and the walked rows are
-never shuffled; above it they are shuffle joins.
+all rater pairs of a popular movie).  No (target, co-rater) table is written.
+
+Ratings over the broadcast bound (counted, see :mod:`joins`) are packed: one
+row of arrays per user (cut by movie for users with many ratings).  Each requested pair joins the two
+rows once and intersects them with array expressions; the targets among the
+common movies come out of the same row, so nothing is joined back.  Under the bound each pair
+walks the lighter user's ratings and probes the partner's, map-side.
 """
 
 from __future__ import annotations
@@ -33,7 +31,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import fits_broadcast, hint, materialize
+from .joins import fits_broadcast, hint, materialize, max_broadcast_bytes
+
+#: Ratings of a packed row; a user with more has several.
+SPLIT = 512
+SUMS = ("n", "s_u", "s_v", "s_uv", "s_uu", "s_vv")
 
 
 def user_avg(ratings: DataFrame) -> DataFrame:
@@ -74,19 +76,102 @@ def corater_candidates(ratings: DataFrame, test: DataFrame) -> DataFrame:
             .where(F.col("corater_id") != F.col("user_id")))
 
 
-def pair_stats(ratings: DataFrame, pairs: DataFrame,
-               u: str = "user_id", v: str = "corater_id") -> DataFrame:
-    """Co-rating sums for each distinct requested pair (u, v).
+def _degree_bits(ratings: DataFrame) -> DataFrame | None:
+    """(user_id, bits) of users with more than ``SPLIT`` ratings, None if there is
+    none: their vector is cut into ``2**bits`` parts by a hash of the movie."""
+    deg = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("deg"))
+    if (deg.agg(F.max("deg")).first()[0] or 0) <= SPLIT:
+        return None
+    return materialize(deg.where(F.col("deg") > SPLIT)
+                       .select("user_id", F.ceil(F.log2(F.col("deg") / SPLIT)).cast("int").alias("bits")))
 
-    Returns (user_id, corater_id, n, s_u, s_v, s_uv, s_uu, s_vv), all BIGINT.
-    Pairs without a co-rated movie get no row (callers treat that as n = 0).
+
+def _power(bits):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+
+
+def rating_vectors(ratings: DataFrame, bits: DataFrame | None = None, test: DataFrame | None = None) -> DataFrame:
+    """One row per user (and part, see :func:`_degree_bits`): ``user_id``, ``part``,
+    ``movies`` and ``ratings`` in the same order, and ``targets``, the movies to predict."""
+    rows = ratings.select("user_id", "movie_id", F.col("rating").cast("long").alias("rating"), F.lit(False).alias("asked"))
+    if test is not None:
+        rows = rows.unionByName(test.select("user_id", F.col("movie_id").cast("long").alias("movie_id"),
+                                            F.lit(None).cast("long").alias("rating"), F.lit(True).alias("asked")))
+    if bits is None:
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    else:
+        rows = (rows.join(hint(bits, fits_broadcast(bits)), "user_id", "left")
+                .withColumn("part", F.pmod(F.xxhash64("movie_id"), _power(F.coalesce("bits", F.lit(0))))))
+    return (rows.groupBy("user_id", "part")
+            .agg(F.collect_list(F.when(~F.col("asked"), F.struct("movie_id", "rating"))).alias("v"),
+                 F.collect_list(F.when(F.col("asked"), F.col("movie_id"))).alias("targets"))
+            .select("user_id", "part", F.col("v.movie_id").alias("movies"), F.col("v.rating").alias("ratings"), "targets"))
+
+
+def _merged_pairs(ratings: DataFrame, pairs: DataFrame, test: DataFrame | None = None) -> DataFrame:
+    """The distinct (u, v) of ``pairs`` with the sums over their common movies
+    and ``hits``: (movie_id, vote, r_target) of u's targets that v rated.
+
+    Each pair meets the two users' vectors once and intersects them.
+    A vector has at most about ``SPLIT`` movies: a user with more is cut by a
+    hash of the movie, and the pair is dealt to as many parts as the heavier of the two has (the lighter one's parts
+    are unions of those), whose sums are added up.
     """
-    ratings = ratings.select("user_id", "movie_id", "rating")
-    small = fits_broadcast(ratings)   # proven bound -> lookups become map-side
+    ratings = ratings.select("user_id", F.col("movie_id").cast("long").alias("movie_id"), "rating")
+    bits = _degree_bits(ratings)
+    vec = materialize(rating_vectors(ratings, bits, test))
+    # two longs a rating, one a target, and the row
+    held = vec.agg(F.sum(16 * F.size("movies") + 8 * F.size("targets") + 64)).first()[0] or 0
+    small = held <= max_broadcast_bytes(ratings)
+    p = pairs.where(F.col("u").isNotNull() & F.col("v").isNotNull()).distinct()
+    if bits is not None:
+        heavy = fits_broadcast(bits)
+        for side in ("u", "v"):
+            b = bits.select(F.col("user_id").alias(side), F.col("bits").alias(f"b_{side}"))
+            p = p.join(hint(b, heavy), side, "left").na.fill(0, [f"b_{side}"])
+        most = F.greatest("b_u", "b_v")
+        p = p.select("*", most.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), _power(most) - 1)).alias("p"))
+    else:
+        p = p.select("*", *(F.lit(0).alias(c) for c in ("b_u", "b_v", "b", "p")))
+    for side in ("u", "v"):
+        mine = vec.select(F.col("user_id").alias(side), F.col("part").alias(f"p_{side}"),
+                          *(F.col(c).alias(f"{side}_{c}") for c in ("movies", "ratings", "targets")))
+        p = (p.withColumn(f"p_{side}", F.pmod("p", _power(F.col(f"b_{side}"))))
+             .join(hint(mine, small), [side, f"p_{side}"], "left"))
+
+    def rating(side: str, movie):
+        return F.get(F.col(f"{side}_ratings"), F.array_position(f"{side}_movies", movie).cast("int") - 1)
+
+    zero = F.lit(0).cast("long")
+
+    def add(acc, m):
+        x, y = rating("u", m), rating("v", m)
+        terms = {"n": F.lit(1), "s_u": x, "s_v": y, "s_uv": x * y, "s_uu": x * x, "s_vv": y * y}
+        return F.struct(*((acc[c] + terms[c]).alias(c) for c in SUMS))
+
+    # few movies are common: the intersection is by hash, only its members look their ratings up
+    both = p.select("u", "v", "b", *(f"{s}_{c}" for s in ("u", "v") for c in ("movies", "ratings")),
+                    F.coalesce(F.array_intersect("u_movies", "v_movies"), F.array().cast("array<bigint>")).alias("common"),
+                    F.array_intersect("u_targets", "v_movies").alias("asked"))
+    sums = both.select("u", "v", "b", F.aggregate("common", F.struct(*(zero.alias(c) for c in SUMS)), add).alias("s"),
+                       F.transform("asked", lambda m: F.struct(
+                           m.alias("movie_id"), rating("v", m).alias("vote"), rating("u", m).alias("r_target"))).alias("hits"))
+    sums = sums.select("u", "v", "b", "hits", "s.*")
+    if bits is None:
+        return sums.drop("b")
+    cut = sums.where("b > 0").groupBy("u", "v").agg(F.flatten(F.collect_list("hits")).alias("hits"),
+                                                    *(F.sum(c).alias(c) for c in SUMS))
+    return sums.where("b = 0").drop("b").unionByName(cut)
+
+
+def _walked_stats(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Sums of the (u, v) of ``pairs``, for ratings under the broadcast bound: each
+    pair walks the ratings of the lighter user and looks the partner's up by the unique key
+    (user, movie), both in broadcast tables."""
     deg = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("deg"))
-    p = pairs.select(F.col(u).alias("u"), F.col(v).alias("v")).distinct()
-    p = (p.join(hint(deg.select(F.col("user_id").alias("u"), F.col("deg").alias("du")), small), "u")
-          .join(hint(deg.select(F.col("user_id").alias("v"), F.col("deg").alias("dv")), small), "v"))
+    p = pairs.distinct()
+    p = (p.join(F.broadcast(deg.select(F.col("user_id").alias("u"), F.col("deg").alias("du"))), "u")
+          .join(F.broadcast(deg.select(F.col("user_id").alias("v"), F.col("deg").alias("dv"))), "v"))
     # Walk the ratings of the lighter user; look up the other by unique key.
     flip = (F.col("dv") < F.col("du")) | ((F.col("dv") == F.col("du")) & (F.col("v") < F.col("u")))
     p = p.select("u", "v",
@@ -97,19 +182,19 @@ def pair_stats(ratings: DataFrame, pairs: DataFrame,
                         F.col("rating").cast("bigint").alias("r_walk"))
     rp = ratings.select(F.col("user_id").alias("probe"), "movie_id",
                         F.col("rating").cast("bigint").alias("r_probe"))
-    m = p.join(hint(rw, small), "walk")
-    if small and _packable(ratings):
+    m = p.join(F.broadcast(rw), "walk")
+    if _packable(ratings):
         # one BIGINT key (user << 32 | movie): a long-keyed hash relation
         key = lambda user, movie: F.shiftleft(user.cast("bigint"), 32) + movie
         m = m.withColumn("_k", key(F.col("probe"), F.col("movie_id")))
         rpk = rp.select(key(F.col("probe"), F.col("movie_id")).alias("_k"), "r_probe")
-        m = m.join(hint(rpk, small), "_k")
+        m = m.join(F.broadcast(rpk), "_k")
     else:
-        m = m.join(hint(rp, small), ["probe", "movie_id"])
+        m = m.join(F.broadcast(rp), ["probe", "movie_id"])
     ru = F.when(F.col("flip"), F.col("r_probe")).otherwise(F.col("r_walk"))
     rv = F.when(F.col("flip"), F.col("r_walk")).otherwise(F.col("r_probe"))
     return (m.select("u", "v", ru.alias("ru"), rv.alias("rv"))
-            .groupBy(F.col("u").alias("user_id"), F.col("v").alias("corater_id"))
+            .groupBy("u", "v")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.sum("ru").alias("s_u"), F.sum("rv").alias("s_v"),
                  F.sum(F.col("ru") * F.col("rv")).alias("s_uv"),
@@ -126,11 +211,17 @@ def _packable(ratings: DataFrame) -> bool:
     return b.u0 >= 0 and b.m0 >= 0 and b.u1 < (1 << 31) and b.m1 < (1 << 32)
 
 
-def target_ratings(ratings: DataFrame, test: DataFrame) -> DataFrame:
-    """Test pairs with the user's own rating of the target (NULL if unrated)."""
-    return (test.select("movie_id", "user_id")
-            .join(ratings.select("movie_id", "user_id", F.col("rating").alias("r_target")),
-                  ["movie_id", "user_id"], "left"))
+def pair_stats(ratings: DataFrame, pairs: DataFrame,
+               u: str = "user_id", v: str = "corater_id") -> DataFrame:
+    """Co-rating sums for each distinct requested pair (u, v).
+
+    Returns (user_id, corater_id, n, s_u, s_v, s_uv, s_uu, s_vv), all BIGINT.
+    Pairs without a co-rated movie get no row (callers treat that as n = 0).
+    """
+    ratings = ratings.select("user_id", "movie_id", "rating")
+    pairs = pairs.select(F.col(u).alias("u"), F.col(v).alias("v"))
+    merge = _walked_stats if fits_broadcast(ratings) else _merged_pairs
+    return merge(ratings, pairs).where("n > 0").select(F.col("u").alias("user_id"), F.col("v").alias("corater_id"), *SUMS)
 
 
 def pair_features(ratings: DataFrame, test: DataFrame) -> DataFrame:
@@ -139,13 +230,19 @@ def pair_features(ratings: DataFrame, test: DataFrame) -> DataFrame:
     Columns: movie_id, user_id, corater_id, vote, r_target, n, s_u, s_v,
     s_uv, s_uu, s_vv (sums over all co-rated movies, target included), and
     ``w``: the leave-one-out cosine of the two users (A3, target excluded).
+    A test pair that is repeated counts once.
     """
-    # candidates feed both the pair list and the final join: compute them once
-    cand = materialize(corater_candidates(ratings, target_ratings(ratings, test)))
-    stats = pair_stats(ratings, cand)
+    test = test.select("movie_id", "user_id").where("movie_id is not null and user_id is not null").distinct()
+    cand = corater_candidates(ratings, test).select(F.col("user_id").alias("u"), F.col("corater_id").alias("v"), "movie_id", "vote")
+    if fits_broadcast(ratings):
+        own = ratings.select(F.col("user_id").alias("u"), "movie_id", F.col("rating").alias("r_target"))
+        f = (cand.join(_walked_stats(ratings, cand.select("u", "v")), ["u", "v"], "left").na.fill(0, list(SUMS))
+             .join(F.broadcast(own), ["u", "movie_id"], "left").withColumnsRenamed({"u": "user_id", "v": "corater_id"}))
+    else:
+        f = _merged_pairs(ratings, cand.select("u", "v"), test).select(
+            # every pair has a hit; a plain inline would infer a filter that makes the hits twice
+            F.col("u").alias("user_id"), F.col("v").alias("corater_id"), *SUMS, F.inline_outer("hits"))
     zero = F.lit(0).cast("bigint")
-    f = cand.join(stats, ["user_id", "corater_id"], "left").na.fill(
-        0, ["n", "s_u", "s_v", "s_uv", "s_uu", "s_vv"])
     rt = F.coalesce(F.col("r_target").cast("bigint"), zero)
     vt = F.when(F.col("r_target").isNull(), zero).otherwise(F.col("vote").cast("bigint"))
     num = F.col("s_uv") - rt * vt
@@ -154,7 +251,7 @@ def pair_features(ratings: DataFrame, test: DataFrame) -> DataFrame:
     den = F.sqrt(nu.cast("double")) * F.sqrt(nv.cast("double"))
     # Q4: a zero norm on one side gives 0 instead of a division error.
     w = F.when((nu + nv > 0) & (den > 0), num.cast("double") / den).otherwise(F.lit(0.0))
-    return f.withColumn("w", w)
+    return f.select("movie_id", "user_id", "corater_id", "vote", "r_target", *SUMS, w.alias("w"))
 
 
 def user_cosine(ratings: DataFrame, test: DataFrame) -> DataFrame:

@@ -146,3 +146,36 @@ def test_hot_movie_is_not_capped(spark):
     assert gl.keys() == gl_b.keys() and len(gl) == len(trows)
     for k in gl:
         assert gl[k] == pytest.approx(gl_b[k], abs=1e-9)
+
+
+@pytest.mark.parametrize("split", [3, 20, 512])
+def test_packed_vectors_equal_brute_force(spark, monkeypatch, split):
+    """Packed rows, cut by movie beyond ``split`` ratings, with targets that the user has not rated,
+    repeated test rows and a movie nobody else rated."""
+    monkeypatch.setattr(rt, "SPLIT", split)
+    r = fx.ratings(spark, SF001).unionByName(spark.createDataFrame([(1, 777777, 3)], "user_id long, movie_id long, rating int")).cache()
+    t0 = _f_test(r)
+    unrated = (t0.select("movie_id").distinct().crossJoin(spark.createDataFrame([(1,), (2,), (99999,)], "user_id long"))
+               .select("movie_id", "user_id"))
+    t = t0.unionByName(unrated).unionByName(t0).unionByName(spark.createDataFrame([(777777, 1), (None, 1)], "movie_id long, user_id long"))
+    spark.conf.set("reelrank.broadcast.maxBytes", "0")
+    try:
+        assert (rt._degree_bits(r) is None) == (split == 512)
+        got = rt.pair_features(r, t).collect()
+    finally:
+        spark.conf.unset("reelrank.broadcast.maxBytes")
+    by = defaultdict(dict)
+    for x in r.collect():
+        by[x.user_id][x.movie_id] = x.rating
+    want = {}
+    for m, u in {tuple(x) for x in t.collect() if x.movie_id is not None}:
+        for v in by:
+            if v != u and m in by[v]:
+                c = [i for i in by.get(u, {}) if i in by[v]]
+                a, b = [by[u][i] for i in c], [by[v][i] for i in c]
+                want[m, u, v] = (by[v][m], by.get(u, {}).get(m), len(c), sum(a), sum(b), sum(x * y for x, y in zip(a, b)),
+                                 sum(x * x for x in a), sum(y * y for y in b))
+    assert {(x.movie_id, x.user_id, x.corater_id): (x.vote, x.r_target, x.n, x.s_u, x.s_v, x.s_uv, x.s_uu, x.s_vv) for x in got} == want
+    assert len(got) == len(want) and any(x.r_target is None for x in got)
+    small = rt.pair_features(r, t)
+    assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, got), key=repr)
