@@ -107,7 +107,8 @@ def deletion_variants(c, k: int):
     """Every string obtained from ``c`` by deleting at most ``k`` characters.
 
     Two strings within Levenshtein distance k share at least one such variant,
-    so an equi-join on variants finds every candidate pair exactly.
+    so an equi-join on variants finds every candidate pair exactly.  Their number
+    grows with the length to the power k; :func:`probe_segments` makes a fixed number of keys.
     """
     out = F.array(c)
     cur = F.array(c)
@@ -119,13 +120,50 @@ def deletion_variants(c, k: int):
     return out
 
 
+def _segment(length, i, k: int):
+    """Start (from 0) and length of segment ``i`` of a string of ``length`` cut into k + 1 even parts."""
+    start = F.floor(i * length / (k + 1)).cast("int")
+    return start, F.floor((i + 1) * length / (k + 1)).cast("int") - start
+
+
+def own_segments(c, k: int):
+    """The k + 1 segments of a string: array of (length, i, segment)."""
+    n = F.char_length(c)
+
+    def one(i):
+        start, size = _segment(n, i, k)
+        return F.struct(n.alias("length"), i.alias("i"), F.substring(c, start + 1, size).alias("segment"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), one)
+
+
+def probe_segments(c, k: int):
+    """Every (length, i, segment) that a string within ``k`` edits of ``c`` may have.
+
+    Of k + 1 segments of a string, k edits leave one whole; it occurs in the other string
+    at most k places off.  So the other lengths, segments and offsets are enumerated: a number that depends on k
+    alone, each with one substring.
+    """
+    n, steps = F.char_length(c), F.sequence(F.lit(-k), F.lit(k))
+
+    def one(length, i, off):
+        start, size = _segment(length, i, k)
+        at = start + off
+        return F.when((at >= 0) & (at + size <= n), F.struct(length.alias("length"), i.alias("i"), F.substring(c, at + 1, size).alias("segment")))
+
+    lengths = F.filter(F.transform(steps, lambda d: n + d), lambda length: length >= 0)
+    found = F.flatten(F.flatten(F.transform(lengths, lambda length: F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.transform(
+        steps, lambda off: one(length, i, off))))))
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+
+
 def title_match_fuzzy(titles: DataFrame, catalogue: DataFrame, max_distance: int = 2) -> DataFrame:
     """J10 fuzzy mode: catalogue titles of the same year within
     ``max_distance`` edits of the (normalised) title.
 
-    Candidate generation joins deletion variants of the *distinct*
-    (title, year) keys of both sides - never all titles of a year against
-    each other - and every candidate is verified with ``levenshtein``.
+    Candidates come from an equi-join of segments of the *distinct*
+    (title, year) keys of both sides (:func:`own_segments`, :func:`probe_segments`) - never all
+    titles of a year against each other - and every candidate is verified with ``levenshtein``.
     Returns the same columns as :func:`title_match`.
     """
     cat = (catalogue.select(normalise_title(F.col("title")).alias("ckey"), "year", "imdb_id")
@@ -133,10 +171,10 @@ def title_match_fuzzy(titles: DataFrame, catalogue: DataFrame, max_distance: int
            .agg(F.count(F.lit(1)).alias("n"), F.collect_list("imdb_id").alias("ids")))
     t = titles.withColumn("key", normalise_title(F.col("title")))
     keys = t.where(~F.col("malformed")).select("key", "year").distinct()
-    kv = keys.select("key", "year", F.explode(deletion_variants(F.col("key"), max_distance)).alias("var"))
-    cv = cat.select("ckey", "year", F.explode(deletion_variants(F.col("ckey"), max_distance)).alias("var"))
-    pairs = (kv.join(cv, ["year", "var"]).select("key", "year", "ckey").distinct()
-             .where(F.levenshtein("key", "ckey") <= max_distance))
+    kv = keys.select("key", "year", F.inline(probe_segments(F.col("key"), max_distance)))
+    cv = cat.select("ckey", "year", F.inline(own_segments(F.col("ckey"), max_distance)))
+    pairs = (kv.join(cv, ["year", "length", "i", "segment"]).select("key", "year", "ckey").distinct()
+             .where(F.levenshtein("key", "ckey", max_distance) >= 0))
     hits = (pairs.join(cat, ["ckey", "year"])
             .groupBy("key", "year")
             .agg(F.sum("n").alias("n_candidates"),

@@ -77,3 +77,43 @@ def test_deletion_variants(spark):
     df = spark.createDataFrame([("abc",)], "s string")
     v = df.select(ct.deletion_variants(F.col("s"), 2).alias("v")).first().v
     assert sorted(v) == sorted(["abc", "bc", "ac", "ab", "c", "b", "a"])
+
+
+def test_fuzzy_segments_find_every_pair(spark):
+    """Against every pair: short, long, empty and non-ASCII titles, edits of every kind."""
+    import random
+
+    rng = random.Random(6)
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, prev = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        return row[-1]
+
+    def edit(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 3)):
+            at, kind = rng.randint(0, len(t)), rng.randint(0, 2)
+            t[at:at + (kind > 0)] = [] if kind == 1 else [rng.choice("abé")]
+        return "".join(t)
+
+    base = ["", "a", "ab", "abc", "aaaa", "abab", "éèab"] + ["".join(rng.choices("abé", k=rng.randint(4, 30))) for _ in range(12)]
+    cat = [(f"{i:03d}", 2000 + i % 2, t) for i, t in enumerate(base + [edit(t) for t in base * 3])]
+    asked = [(str(i), 2000 + i % 2, edit(rng.choice(base)), False) for i in range(80)]
+    c = spark.createDataFrame(cat, "imdb_id string, year int, title string")
+    t = spark.createDataFrame(asked, "netflix_id string, year int, title string, malformed boolean")
+    for k in (1, 2, 3):
+        got = {r.netflix_id: r.imdb_ids for r in ct.title_match_fuzzy(t, c, k).collect()}
+        want = {n: "/".join(sorted(i for i, yy, tt in cat if yy == y and lev(title, tt) <= k)) or None for n, y, title, _ in asked}
+        assert got == want
+
+
+def test_fuzzy_keys_do_not_grow_with_the_title(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("x" * 30 + "abcdefghij" * n,) for n in (1, 9, 90)], "t string")
+    n = [r.n for r in df.select(F.size(ct.probe_segments(F.col("t"), 2)).alias("n")).collect()]
+    assert max(n) <= 5 * 3 * 5
