@@ -23,6 +23,13 @@ EVENTS = """events_r AS (
          l.l_shipdate, l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_quantity, l.l_extendedprice
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
+NEWEST = """ratings AS (
+  SELECT user_id, movie_id, rating FROM (
+    SELECT user_id, movie_id, rating, row_number() OVER (PARTITION BY user_id, movie_id
+      ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC,
+               l_quantity DESC, l_extendedprice DESC) AS rn
+    FROM events_r) x WHERE rn = 1)"""
+
 ID_MAP = """id_map AS (
   SELECT CASE WHEN length(CAST(p_partkey AS VARCHAR)) >= 7 THEN CAST(p_partkey AS VARCHAR)
               ELSE lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS imdb_id,
@@ -242,6 +249,10 @@ JOIN available a ON a.movie_id = regexp_replace(m.imdb_id, '^0+', '')"""
   FROM events_r) x WHERE rn = 1"""
     q["ratings_csv_scan"] = with_(RATINGS) + "SELECT user_id, movie_id, rating FROM ratings"
     q["incremental_ratings"] = q["ratings_last_wins"]
+    q["incremental_user_avg"] = with_(EVENTS, NEWEST, USER_AVG) + \
+        "SELECT user_id, n_ratings, sum_ratings, round(avg_rating, 6) AS avg_rating FROM uavg"
+    q["incremental_pair_stats"] = with_(EVENTS, NEWEST, ID_MAP, AVAILABLE, TEST, FEATURES) + \
+        "SELECT user_id, corater_id, n, s_u, s_v, s_uv, s_uu, s_vv FROM stats"
     q["tfidf_weights"] = with_(*tfidf_ctes()) + """SELECT movie_id, term, tf, df, round(idf, 6) AS idf,
   round(weight, 6) AS weight FROM weights"""
     q["movie_similarity"] = with_(*_base(), *similarity_ctes(25)) + \

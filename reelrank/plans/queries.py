@@ -223,18 +223,42 @@ def q_ratings_csv_scan(spark, d):
                        F.col("movie_id").cast("bigint").alias("movie_id"), "rating")
 
 
-def q_incremental_ratings(spark, d):
-    """Rating events land in two drops (shipped up to 1995, then later);
-    three availableNow runs (drop 1, drop 2, nothing new) give last-wins state."""
+def _two_drops(spark, d, after_drop=None):
+    """Rating events land in two drops (shipped up to 1995, then later), each ingested;
+    ``after_drop(state_dir)`` runs after each.  Returns the table of a third run that finds nothing new."""
     from ..streaming.incremental import ingest
     base = _scratch(spark, "incremental")
     land, state, ckpt = f"{base}/landing", f"{base}/state", f"{base}/checkpoint"
     ev = fx.rating_events(spark, d).select("user_id", "movie_id", "rating", *fx.EVENT_ORDER)
     early = F.year("l_shipdate") <= 1995
-    ev.where(early).write.parquet(f"{land}/drop=1")
-    schema = ev.schema
-    ingest(spark, land, state, ckpt, schema, ["user_id", "movie_id"], fx.EVENT_ORDER)
-    ev.where(~early).write.parquet(f"{land}/drop=2")
-    ingest(spark, land, state, ckpt, schema, ["user_id", "movie_id"], fx.EVENT_ORDER)
-    out = ingest(spark, land, state, ckpt, schema, ["user_id", "movie_id"], fx.EVENT_ORDER)
-    return out.select("user_id", "movie_id", "rating")
+    for i, part in enumerate((ev.where(early), ev.where(~early))):
+        part.write.parquet(f"{land}/drop={i + 1}")
+        ingest(spark, land, state, ckpt, ev.schema, ["user_id", "movie_id"], fx.EVENT_ORDER)
+        if after_drop:
+            after_drop(state)
+    return ingest(spark, land, state, ckpt, ev.schema, ["user_id", "movie_id"], fx.EVENT_ORDER)
+
+
+def q_incremental_ratings(spark, d):
+    """Three availableNow runs (drop 1, drop 2, nothing new) give last-wins state."""
+    return _two_drops(spark, d).select("user_id", "movie_id", "rating")
+
+
+def q_incremental_user_avg(spark, d):
+    """R1 x A1: user means from the signed changes of two drops."""
+    from ..streaming import statistics as st
+    stats = _scratch(spark, "stats")
+    _two_drops(spark, d, lambda state: st.update_statistics(spark, state, stats))
+    return st.read_user_avg(spark, stats).select("user_id", "n_ratings", "sum_ratings", _r6("avg_rating"))
+
+
+def q_incremental_pair_stats(spark, d):
+    """R1 x J1: co-rating sums of the test set's pairs from the changes of two drops."""
+    from ..operators.dedupe import last_wins
+    from ..operators.joins import materialize
+    from ..streaming import statistics as st
+    stats = _scratch(spark, "stats")
+    r = last_wins(fx.rating_events(spark, d), ["user_id", "movie_id"], fx.EVENT_ORDER).select("user_id", "movie_id", "rating")
+    pairs = materialize(rt.corater_candidates(r, test_set(spark, d, r)).select("user_id", "corater_id").distinct())
+    _two_drops(spark, d, lambda state: st.update_statistics(spark, state, stats, pairs))
+    return st.read_pair_stats(spark, stats)
