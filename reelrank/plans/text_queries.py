@@ -89,18 +89,37 @@ def q_page_section_text(spark, d):
         "page_id", tx.section_text(F.col("html"), sc.SECTION_OPEN, sc.SECTION_CLOSE).alias("text"))
 
 
+#: A frame of nested containers around every page.
+FRAME = ('<div class="page main"><div id="top">', '</div><DIV class=x>end<div>s</div></DIV> foot</div><div class="page">other</div>')
+DIV = "(?i)</?div(?:[\\s/][^>]*)?>"
+
+
+def q_page_container_text(spark, d):
+    """F14 on nested containers: the page's outer frame, to its balancing close."""
+    framed = F.concat(F.lit(FRAME[0]), F.col("html"), F.lit(FRAME[1]))
+    return table(spark, d, "pages").where("html is not null").select(
+        "page_id", tx.container_text(framed, "div", css_class="main").alias("text"))
+
+
 # --- oracle ----------------------------------------------------------------------
-def _sql_strip_tags(x: str) -> str:
-    e = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for ent, ch in tx.ENTITIES:
-        e = f"replace({e}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    return f"CASE WHEN regexp_matches({x}, '<.*?>') THEN {e} ELSE {x} END"
+#: Names the SQL knows: a sample of the list behind ``unescape_entities``.
+SQL_NAMES = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "middot", "hellip", "mdash", "ndash", "eacute", "euro")
 
 
 def _sql_unescape(x: str) -> str:
-    for ent, ch in tx.ENTITIES:
-        x = f"replace({x}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    return x
+    names = tx.entity_names()
+    quoted = lambda c: "'" + c.replace("'", "''") + "'"
+    cases = " ".join(f"WHEN '{n};' THEN {quoted(names[n + ';'])} || substr(p, {len(n) + 2})" for n in SQL_NAMES)
+    one = ("CASE WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(CAST(regexp_extract(p, '^#([0-9]+);', 1) AS INTEGER)) "
+           "|| regexp_replace(p, '^#[0-9]+;', '') "
+           f"ELSE CASE regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;', 0) {cases} ELSE '&' || p END END")
+    return (f"((string_split({x}, '&'))[1] || array_to_string(list_transform((string_split({x}, '&'))[2:], "
+            f"lambda p: {one}), ''))")
+
+
+def _sql_strip_tags(x: str) -> str:
+    e = _sql_unescape(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
+    return f"CASE WHEN regexp_matches({x}, '<.*?>') THEN {e} ELSE {x} END"
 
 
 CUES = """cues AS (
@@ -192,16 +211,26 @@ FROM id_map CROSS JOIN (VALUES ('imdb_to_netflix'), ('netflix_to_imdb')) d(direc
 FROM merged m LEFT JOIN plots p ON p.movie_id = m.movie_id"""
     q["page_paragraphs"] = f"""SELECT page_id, CAST(generate_subscripts(ps, 1) AS INTEGER) AS pos,
   unnest(ps) AS paragraph FROM (SELECT page_id, {_sql_paragraphs('html')} AS ps FROM pages) x"""
-    anchor = tx.ANCHOR
     h = _sql_drop_scripts("html")
+    anchor = tx.ANCHOR.replace("'", "''")
+    groups = ", ".join(f"regexp_extract_all({h}, '{anchor}', {i})" for i in (1, 2, 3, 4))
     q["page_link_by_text"] = f"""SELECT page_id, link FROM (
   SELECT page_id,
     CASE WHEN len(hits) > 0 THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || hits[1] END AS link
   FROM (SELECT page_id, url,
-          list_filter(list_zip(regexp_extract_all({h}, '{anchor}', 1), regexp_extract_all({h}, '{anchor}', 2)),
-                      lambda z: regexp_replace(z[2], '<[^>]*>', '', 'g') = '{LINK_LABEL}') AS hits0
+          list_filter(list_zip({groups}), lambda z: regexp_replace(z[4], '<[^>]*>', '', 'g') = '{LINK_LABEL}') AS hits0
         FROM pages) a,
-  LATERAL (SELECT list_transform(hits0, lambda z: z[1]) AS hits) b
+  LATERAL (SELECT list_transform(hits0, lambda z: coalesce(z[1], '') || coalesce(z[2], '') || coalesce(z[3], '')) AS hits) b
 ) x WHERE link IS NOT NULL"""
+    q["page_container_text"] = f"""WITH w AS (
+  SELECT page_id, regexp_extract(t, '(?s)<div class="page main">(.*)\\z', 1) AS after
+  FROM (SELECT page_id, '{FRAME[0]}' || {h} || '{FRAME[1]}' AS t FROM pages WHERE html IS NOT NULL) x),
+c AS (SELECT page_id, string_split_regex(after, '{DIV}') AS parts, regexp_extract_all(after, '{DIV}') AS marks FROM w),
+m AS (SELECT page_id, generate_subscripts(marks, 1) AS i, unnest(marks) AS mark FROM c),
+d AS (SELECT page_id, i, 1 + sum(CASE WHEN mark LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM m),
+e AS (SELECT page_id, min(i) AS i FROM d WHERE depth = 0 GROUP BY page_id)
+SELECT page_id, array_to_string(list_filter(flatten(list_transform(
+    CASE WHEN e.i IS NULL THEN parts ELSE parts[1:e.i] END, lambda p: string_split_regex(p, '<[^>]*>'))), lambda x: x <> ''), chr(10)) AS text
+FROM c LEFT JOIN e USING (page_id)"""
     q["page_section_text"] = f"SELECT page_id, {_sql_section('html')} AS text FROM pages"
     return q

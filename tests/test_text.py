@@ -91,3 +91,39 @@ def test_movie_docs_no_separator(spark):
     p = spark.createDataFrame([("1", "plot")], "movie_id string, text string")
     got = {r.movie_id: r.text for r in sc.movie_docs(s, p).collect()}
     assert got == {"1": "script plot", "2": "only"}
+
+
+def test_entities_equal_the_standard_decoder(spark):
+    """Random references, whole and broken, against html.unescape."""
+    import html
+    import random
+
+    rng = random.Random(9)
+    names = sorted(tx.entity_names())
+    pick = [lambda: "&" + rng.choice(names), lambda: "&" + rng.choice(names).rstrip(";"), lambda: f"&#{rng.randint(0, 0x110010)};",
+            lambda: f"&#x{rng.randint(0, 0x2FFFF):x}", lambda: f"&#{rng.choice([0, 1, 9, 11, 13, 128, 129, 0xD800, 0xFDD0, 0xFFFE, 65, 99999999999])}",
+            lambda: rng.choice(["&", "&amp;lt;", "&;", "&#;", "&#x;", "&ampx", "&notit;", "&copy2020", "a b", "é", "#", ";", "&lt;b&gt;", "&zz;", "&#0065;"])]
+    texts = ["".join(rng.choice(pick)() for _ in range(rng.randint(0, 5))) for _ in range(3000)] + ["&" + n for n in names]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string").repartition(4)
+    got = {r.i: r.u for r in df.select("i", tx.unescape_entities(F.col("t")).alias("u")).collect()}
+    assert got.pop(-1) is None
+    bad = [(texts[i], u, html.unescape(texts[i])) for i, u in got.items() if u != html.unescape(texts[i])]
+    assert bad == []
+
+
+def test_nested_containers(spark):
+    rows = ['<div class="a x">1<div>2<div >3</div></div><p>4</p></div>5', '<DIV ID=top><div/>a</div>b</div>c', "no", None, "",
+            "<divx class='x'>n</divx><div class='y'>n</div><div class='z x'>k<script>var a='</div>'</script>m</div>n", '<div class="x">open <b>end']
+    df = spark.createDataFrame([(r,) for r in rows], "html string")
+    got = [r.t for r in df.select(tx.container_text(F.col("html"), "div", css_class="x").alias("t")).collect()]
+    assert got == ["1\n2\n3\n4", None, None, None, None, "km", "open \nend"]
+    ids = [r.t for r in df.select(tx.container_text(F.col("html"), "div", element_id="top").alias("t")).collect()]
+    assert ids[1] == "a\nb" and ids[0] is None
+
+
+def test_links_of_any_quoting(spark):
+    rows = ['<a href="/w" data-href="/z">Go</a>', '<a data-href="/z" href="/w">Go</a>', "<a class=q href='/w'><b>Go</b></a>", "<a href=/w>Go</a>",
+            '<a data-href="/z">Go</a>', "<abbr href='/w'>Go</abbr>", "<a href='https://o.org/w'>Go</a>"]
+    df = spark.createDataFrame([(r,) for r in rows], "html string")
+    got = [r.l for r in df.select(tx.link_by_text(F.col("html"), F.lit("https://e.org/a?b"), "Go").alias("l")).collect()]
+    assert got == ["https://e.org/w"] * 4 + [None, None, "https://o.org/w"]
