@@ -97,6 +97,15 @@ def best_subtitles(subs: DataFrame) -> DataFrame:
                         F.row_number().over(w).cast("int").alias("pos"), "file_id", "link")
 
 
+def subtitle_summary(requested: DataFrame) -> DataFrame:
+    """Q7: ``found``, the movies that any requested subtitle belongs to, and
+    ``kept``, those whose best set is complete."""
+    both = (requested.select("movie_id", F.lit(True).alias("any"))
+            .unionByName(best_subtitles(requested).select("movie_id", F.lit(False).alias("any"))))
+    mine = lambda c: F.countDistinct(F.when(c, F.col("movie_id")))
+    return both.agg(mine(F.col("any")).alias("found"), mine(~F.col("any")).alias("kept"))
+
+
 def file_names(links: DataFrame, col: str = "link") -> DataFrame:
     """local file name of a download link (``.gz`` -> ``.srt``)."""
     return links.withColumn("file_name", F.replace(last_path_segment(F.col(col)),

@@ -56,11 +56,12 @@ def test_set_summary(test: DataFrame) -> DataFrame:
                     F.countDistinct("movie_id").alias("movies"))
 
 
-def rmse(predictions: DataFrame, ratings: DataFrame, test: DataFrame | None = None) -> DataFrame:
+def rmse(predictions: DataFrame, ratings: DataFrame, test: DataFrame | None = None,
+         algorithms: list[str] | None = None) -> DataFrame:
     """RMSE of the integer predictions, with coverage.
 
-    Grouped by ``algorithm`` when that column is present (an algorithm without
-    predictions has no row; without the column an empty set scores 0).  A
+    Grouped by ``algorithm`` when that column is present.  Without predictions the score is 0: for
+    an empty set without that column, and for every one of ``algorithms`` that has none.  A
     prediction without an actual rating raises, as it has no error to count.
     ``coverage`` = n_pred / n_test.
     """
@@ -72,6 +73,9 @@ def rmse(predictions: DataFrame, ratings: DataFrame, test: DataFrame | None = No
     d = (actual - F.col("prediction")).cast("double")
     agg = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"),
                                F.coalesce(F.sqrt(F.avg(d * d)), F.lit(0.0)).alias("rmse"))
+    if keys and algorithms:
+        names = predictions.sparkSession.createDataFrame([(a,) for a in algorithms], "algorithm string")
+        agg = names.join(agg, "algorithm", "full_outer").na.fill(0, ["n_pred"]).na.fill(0.0, ["rmse"])
     if test is not None:
         n_test = test.select(F.count(F.lit(1))).scalar()
         agg = agg.withColumn("n_test", n_test).withColumn(

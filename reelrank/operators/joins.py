@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_MAX_BYTES = 64 << 20
-#: Bytes of a value in a broadcast row, by type; others (strings, arrays) count 64.
-_WIDTH = {T.BooleanType: 8, T.ByteType: 8, T.ShortType: 8, T.IntegerType: 8, T.LongType: 8, T.FloatType: 8,
-          T.DoubleType: 8, T.DateType: 8, T.TimestampType: 8}
+#: Bytes of a fixed-size value in a broadcast row.
+_WIDTH = 8
+_FIXED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType)
 
 
 def max_broadcast_bytes(df: DataFrame) -> int:
@@ -25,19 +25,34 @@ def max_broadcast_bytes(df: DataFrame) -> int:
 
 
 def row_bytes(df: DataFrame) -> int:
-    """Estimated bytes of a row in a hash relation."""
-    return 24 + sum(_WIDTH.get(type(f.dataType), 64) for f in df.schema.fields)
+    """Estimated bytes of a row in a hash relation, with 64 for what has no fixed size."""
+    return 24 + sum(_WIDTH if isinstance(f.dataType, _FIXED) else 64 for f in df.schema.fields)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True if all rows of ``df`` take at most the bound (or are at most ``max_rows``)."""
-    limit = max_broadcast_bytes(df) // row_bytes(df) if max_rows is None else max_rows
-    return limit > 0 and df.count() <= limit
+def relation_bytes(df: DataFrame) -> int:
+    """Bytes of all rows in a hash relation: one aggregate over rows and the
+    measured length of whatever has no fixed size."""
+    fixed = 24 + _WIDTH * len(df.columns)
+    size = F.lit(fixed).cast("long")
+    for f in df.schema.fields:
+        if not isinstance(f.dataType, _FIXED):
+            c = F.col(f"`{f.name}`")
+            text = c if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c))
+            size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    return int(df.select(F.sum(size)).first()[0] or 0)
+
 
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True if all rows of ``df`` take at most the bound (or are at most ``max_rows``).
 
-def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if it has a size under the bound, else ``df``."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+    Rows are counted first; lengths are measured only where the count alone doesn't rule a broadcast out.
+    """
+    if max_rows is not None:
+        return max_rows > 0 and df.count() <= max_rows
+    limit = max_broadcast_bytes(df)
+    if limit <= 0 or df.count() * (24 + _WIDTH * len(df.columns)) > limit:
+        return False
+    return all(isinstance(f.dataType, _FIXED) for f in df.schema.fields) or relation_bytes(df) <= limit
 
 
 def hint(df: DataFrame, small: bool) -> DataFrame:

@@ -226,12 +226,15 @@ WHERE g.den <> 0"""
 FROM test t CROSS JOIN (VALUES ('group_lens'), ('shw'), ('most_similar')) a(algorithm)
 WHERE NOT EXISTS (SELECT 1 FROM allp p WHERE p.algorithm = a.algorithm
                   AND p.movie_id = t.movie_id AND p.user_id = t.user_id)"""
-    q["rmse"] = _all_preds() + """SELECT p.algorithm, CAST(count(*) AS BIGINT) AS n_pred,
+    q["rmse"] = _all_preds() + """, names AS (
+  SELECT * FROM (VALUES ('group_lens'), ('shw'), ('most_similar')) v(algorithm))
+SELECT a.algorithm, CAST(count(p.movie_id) AS BIGINT) AS n_pred,
   (SELECT CAST(count(*) AS BIGINT) FROM test) AS n_test,
   round(coalesce(sqrt(avg(CAST((r.rating - p.prediction) * (r.rating - p.prediction) AS DOUBLE))), 0.0), 6) AS rmse,
-  round(count(*) / (SELECT count(*) FROM test), 6) AS coverage
-FROM allp p JOIN ratings r ON r.movie_id = p.movie_id AND r.user_id = p.user_id
-GROUP BY p.algorithm"""
+  round(count(p.movie_id) / (SELECT count(*) FROM test), 6) AS coverage
+FROM names a LEFT JOIN allp p ON p.algorithm = a.algorithm
+LEFT JOIN ratings r ON r.movie_id = p.movie_id AND r.user_id = p.user_id
+GROUP BY a.algorithm"""
     q["recent_test_set"] = with_(*_base()) + "SELECT movie_id, user_id FROM test"
     q["full_test_set"] = with_(RATINGS, ID_MAP, AVAILABLE) + """SELECT r.movie_id, r.user_id
 FROM ratings r JOIN id_map m ON m.netflix_id = r.movie_id

@@ -149,7 +149,7 @@ def q_prediction_errors(spark, d):
 def q_rmse(spark, d):
     r = ratings(spark, d)
     t = test_set(spark, d, r)
-    out = ev.rmse(all_predictions(spark, d, r, t), r, t)
+    out = ev.rmse(all_predictions(spark, d, r, t), r, t, ["group_lens", "shw", "most_similar"])
     return out.select("algorithm", "n_pred", "n_test", _r6("rmse"), _r6("coverage"))
 
 

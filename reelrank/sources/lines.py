@@ -109,8 +109,8 @@ def read_lines(spark: SparkSession, path: str, encoding: str | None = None,
 
 def read_documents(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
                    glob: str | None = None) -> DataFrame:
-    """One row per file, ``(path, file_name, parent, text)``, decoded
-    from bytes so any charset works.  One file bounds one row."""
+    """One row per file, ``(path, file_name, stem, parent, text)``, decoded
+    from bytes so any charset works; ``stem`` is the name up to its last dot.  One file bounds one row."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -119,6 +119,7 @@ def read_documents(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
     return df.select(
         "path",
         F.element_at(parts, -1).alias("file_name"),
+        F.regexp_extract(F.element_at(parts, -1), r"^(.+?)(?:\.[^.]*)?$", 1).alias("stem"),
         F.element_at(parts, -2).alias("parent"),
         F.decode(F.col("content"), encoding).alias("text"))
 

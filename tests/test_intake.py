@@ -117,3 +117,39 @@ def test_outputs_of_an_algorithm_are_replaced(spark, tmp_dir):
     read = lambda name, df: _rows(atomic.read(spark, f"{tmp_dir}/{name}", "algorithm", df.schema))
     assert read("predictions", pred) == [("x", 1, 1, 1), ("y", 1, 1, 4)]
     assert read("errors", err) == [("y", 2, 2)] and read("metrics", met) == _rows(met)
+
+
+def test_algorithms_without_predictions_score_zero(spark):
+    from reelrank.operators import evaluate as ev
+
+    r = spark.createDataFrame([(1, 1, 3), (2, 1, 5)], "user_id long, movie_id long, rating int")
+    p = spark.createDataFrame([("a", 1, 1, 4), ("a", 1, 2, 4)], "algorithm string, movie_id long, user_id long, prediction int")
+    got = ev.rmse(p, r, r.select("movie_id", "user_id"), ["a", "none"]).collect()
+    assert {x.algorithm: (x.n_pred, x.rmse, x.coverage) for x in got} == {"a": (2, 1.0, 1.0), "none": (0, 0.0, 0.0)}
+
+
+def test_found_and_kept_movies(spark):
+    from reelrank.operators import catalog as ct
+
+    rows = [("1", 10, "a", "l", "srt", 1), ("2", 11, "b", "l", "srt", 2), ("3", 12, "c", "l", "sub", 1), ("1", 13, "d", "l", "srt", 3)]
+    df = spark.createDataFrame(rows, "movie_id string, sub_id long, file_id string, link string, sub_format string, sum_cd int")
+    assert tuple(ct.subtitle_summary(df).first()) == (3, 1) and tuple(ct.subtitle_summary(df.where("false")).first()) == (0, 0)
+
+
+def test_broadcast_bound_measures_long_values(spark):
+    from reelrank.operators.joins import fits_broadcast
+
+    spark.conf.set("reelrank.broadcast.maxBytes", "10000")
+    try:
+        df = spark.createDataFrame([("x" * 20_000, [1])], "s string, a array<int>")
+        assert not fits_broadcast(df) and fits_broadcast(df.withColumn("s", F.lit("x"))) and fits_broadcast(df.where("false"))
+        assert not fits_broadcast(spark.range(10_000))
+    finally:
+        spark.conf.unset("reelrank.broadcast.maxBytes")
+
+
+def test_stem_of_a_file(spark, tmp_dir):
+    for name in ("0012.plots.txt", "77"):
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write("x")
+    assert sorted(r.stem for r in ln.read_documents(spark, tmp_dir).collect()) == ["0012.plots", "77"]
