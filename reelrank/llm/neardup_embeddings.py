@@ -94,6 +94,11 @@ def classes(df: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFra
     return C.materialize(found), rows
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that no product of theirs overflows or vanishes; cosines stay the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _hashed(cls: DataFrame) -> DataFrame:
     """Written table of classes: id, copies, vector and all its bucket codes, as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +112,7 @@ def _hashed(cls: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [b.column(1).take(pa.array(rows)), b.column(2).take(pa.array(rows)),
                          pa.array(np.full(len(rows), dim, np.int32)), pa.array([r.tobytes() for r in x], pa.binary()),
-                         pa.array(buckets(x).reshape(len(rows), -1).tolist(), pa.list_(pa.int64()))],
+                         pa.array(buckets(scaled(x)).reshape(len(rows), -1).tolist(), pa.list_(pa.int64()))],
                         names=["_rr_c", "_rr_n", "_rr_dim", "_rr_x", "_rr_codes"])
 
     return C.materialize(cls.select("_rr_v", "_rr_c", "_rr_n").mapInArrow(
@@ -125,7 +130,7 @@ def _unit_links(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (t, dim, code, lo, hi), g in pdf.groupby(["_rr_t", "_rr_dim", "_rr_code", "_rr_lo", "_rr_hi"], sort=False):
-            x = np.stack([np.frombuffer(b, np.float64) for b in g["_rr_x"]])
+            x = scaled(np.stack([np.frombuffer(b, np.float64) for b in g["_rr_x"]]))
             codes = np.stack(g["_rr_codes"].to_numpy()).reshape(len(g), TABLES, PROBES)
             ids, n = g["_rr_c"].to_numpy(), g["_rr_n"].to_numpy()
             main, side = g["_rr_main"].to_numpy(), g["_rr_b"].to_numpy()

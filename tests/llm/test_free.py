@@ -399,3 +399,10 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.severity(docs.limit(0), labels, "doc_id", "text", "toxic").count() == 0
 
 
+
+
+def test_cosines_of_huge_and_tiny_vectors(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e200, -1e200]), (4, [1e-200, 1e-200]), (5, [1e308, -1e308]), (6, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup_embeddings.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 4: (2, 1), 3: (1, 3), 5: (1, 3), 6: (0, 6)}
