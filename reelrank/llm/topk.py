@@ -11,6 +11,7 @@ a window that keeps k rows per query.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -109,12 +110,28 @@ def dual_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, qids: np.ndarray,
     return best, best_id
 
 
+def integer_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int) -> pd.DataFrame:
+    """Best ``k`` rows of every query in Python integers, for blocks whose
+    scores doubles can't hold.  A score that no long holds takes the nearest long."""
+    whole = np.frompyfunc(int, 1, 1)
+    cand, low, high = whole(x), -(1 << 63), (1 << 63) - 1
+    rows = []
+    for one, own in zip(q, qids.tolist()):
+        score = cand @ whole(one)
+        best = heapq.nsmallest(k, ((-s, i) for s, i in zip(score.tolist(), ids.tolist()) if i != own))
+        rows += [(own, i, min(max(-s, low), high)) for s, i in best]
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype(np.int64)
+
+
 def quantized(vector: Column) -> Column:
     """Integer components ``floor(256 x)``; null if the vector is null or holds
     a null or non-finite component."""
     v = vector.cast("array<double>")
     bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
-    return F.when(v.isNotNull() & ~F.exists(v, bad), F.transform(v, lambda e: F.floor(e * 256).cast("double")))
+    # doubles from 2**53 on are whole; floor() of them as long would end at 2**63
+    whole = lambda e: F.when(F.abs(e) < 2.0 ** 53, F.floor(e * 256).cast("double")).otherwise(
+        F.greatest(F.least(e, F.lit(2.0 ** 1000)), F.lit(-(2.0 ** 1000))) * 256)
+    return F.when(v.isNotNull() & ~F.exists(v, bad), F.transform(v, whole))
 
 
 def _unit(k: int):
@@ -126,8 +143,10 @@ def _unit(k: int):
             if not ask.any() or ask.all():
                 continue
             # inner products of at most 2**53 are exact in doubles
-            if dim and (v[ask] ** 2).sum(1).max() * (v[~ask] ** 2).sum(1).max() >= 2.0 ** 106:
-                raise ValueError("components too large for exact scores")
+            top = np.abs(v).max(initial=0)
+            if top * top * dim >= 2.0 ** 53 and np.sqrt((v[ask] ** 2).sum(1).max()) * np.sqrt((v[~ask] ** 2).sum(1).max()) >= 2.0 ** 53:
+                out.append(integer_search(v[ask], v[~ask], ids[~ask], ids[ask], k))
+                continue
             s, i = dual_search(v[ask], v[~ask], ids[~ask], ids[ask], k)
             row, col = np.nonzero(~np.isinf(s))
             out.append(pd.DataFrame({"query_id": ids[ask][row], "vec_id": i[row, col], "score": s[row, col].astype(np.int64)}))
@@ -145,7 +164,8 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str =
     id; fewer candidates give fewer rows.  Vectors that are null or hold a null
     or non-finite component and rows with a null id take no part; vectors of
     another length are no candidates; rows repeated with the same id and vector are
-    one candidate.  Other columns are ignored; an empty table gives no row.
+    one candidate.  Scores too large for doubles are computed in integers, plainly; one that no
+    long holds is given as the nearest long.  Other columns are ignored; an empty table gives no row.
     """
     rows = C.materialize(df.select(F.col(id_col).cast("long").alias("_rr_id"), quantized(F.col(vector)).alias("_rr_v"),
                                    F.coalesce(is_query, F.lit(False)).alias("_rr_q"))

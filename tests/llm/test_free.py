@@ -406,3 +406,23 @@ def test_cosines_of_huge_and_tiny_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in neardup_embeddings.near_duplicates(df).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 4: (2, 1), 3: (1, 3), 5: (1, 3), 6: (0, 6)}
+
+
+@pytest.mark.parametrize("big", [2.0 ** 20, 2.0 ** 22, 2.0 ** 45, 1e300])
+def test_top_k_of_large_components(spark, big):
+    """Scores beyond 2**53 are exact; those beyond a long end at its bounds."""
+    import math
+
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.integers(-9, 10, 3) / 8 * big + rng.integers(0, 3, 3)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(e * 256) if abs(e) < 2 ** 53 else int(max(min(e, 2.0 ** 1000), -(2.0 ** 1000))) * 256 for e in v] for i, v in rows}
+    want = set()
+    for q in range(0, 30, 10):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:4]
+        want |= {(q, n + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, i) in enumerate(best)}
+    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, k=4).collect()}
+    if big < 1e10:
+        assert got == want
+    else:  # ties at the bounds go to the smaller id
+        assert {(q, r, s) for q, r, _, s in got} == {(q, r, s) for q, r, _, s in want}
