@@ -426,3 +426,46 @@ def test_top_k_of_large_components(spark, big):
         assert got == want
     else:  # ties at the bounds go to the smaller id
         assert {(q, r, s) for q, r, _, s in got} == {(q, r, s) for q, r, _, s in want}
+
+
+def test_rank_order_against_plain(spark):
+    """Profiles and predictions against dictionaries: whole texts, ties by code point, held-out rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, "x", l) for i, (t, l) in enumerate([("ab ba ab", "p"), ("Xy yx; xy", "q"), ("ab xy", None), ("zz", "p"), ("", "p"), (None, "q"), ("12", "q")] * 3)]
+    df = spark.createDataFrame([(*r, "", 0) for r in rows], DOC)
+
+    def grams(t):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        n = Counter()
+        for w in words:
+            n.update(w)
+        s = " " + " ".join(words) + " " if words else ""
+        n.update(s[i:i + 2] for i in range(len(s) - 1))
+        n.update(s[i:i + 3] for i in range(len(s) - 2) if s[i + 1] != " ")
+        return n
+
+    def code(g):
+        out = 0
+        for c in g:
+            out = out << 21 | ord(c)
+        return out
+
+    def rank(n, size):
+        return [g for g, _ in sorted(n.items(), key=lambda kv: (-kv[1], code(kv[0])))[:size]]
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    for size in (4, 300):
+        learned = {}
+        for i, t, _, lang in rows:
+            if lang and not held(i):
+                learned.setdefault(lang, Counter()).update(grams(t))
+        prof = {lang: {g: r for r, g in enumerate(rank(n, size))} for lang, n in learned.items()}
+        want = {}
+        for i, t, _, _ in rows:
+            top = rank(grams(t), size)
+            dist = {lang: sum(abs(p[g] - r) if g in p else size for r, g in enumerate(top)) for lang, p in prof.items()}
+            best = min(sorted(dist), key=lambda x: dist[x]) if top else "und"
+            want[i] = (held(i), best, round(1 - dist[best] / (size * len(top)), 9) if top else 0.0)
+        got = {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.predict_languages(df, "doc_id", "text", "lang", size).collect()}
+        assert got == want
