@@ -31,8 +31,11 @@ QUANTUM = 64
 #: Rounds per block of the tape, blocks per group of blocks.
 ROUNDS_PER_BLOCK = 64
 BLOCKS_PER_GROUP = 4096
-#: Chunks that a worker remembers (about 200 bytes each).
-CACHE_ROWS = 400_000
+#: Tokens of a document whose pieces travel as one row.
+PIECES_SPAN = 1 << 20
+#: Bytes of chunks that a worker remembers, each counted with the objects that hold it.
+CACHE_BYTES = 16 << 20
+CHUNK_BYTES = 160
 
 
 class ByteBpe:
@@ -64,6 +67,7 @@ class ByteBpe:
         self.encode = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN,
                                         mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
         self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
         # the longest of those that begin at one place
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
@@ -99,8 +103,9 @@ class ByteBpe:
                     if not chunk or chunk[0].isspace():
                         return self._ids(text)
                     out[i] = ids = known.get(chunk) or self._ids(" " + chunk)
-                    if len(known) < CACHE_ROWS and len(chunk) < 64:
+                    if self.held < CACHE_BYTES and len(chunk) < 64:
                         known[chunk] = ids
+                        self.held += CHUNK_BYTES + 4 * len(chunk) + len(ids)
         return b"".join(out)
 
 
@@ -130,8 +135,8 @@ def tokenize(df: DataFrame, id_col: str, text: str, source: str, tokenizer: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
+            for at in range(0, big.num_rows, 64):
+                b = big.slice(at, 64)
                 ids = [encode(t.as_py()) + end for t in b.column(3)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), b.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -217,14 +222,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     pieces = _tape(_schedule(tokens.select("_rr_uid", "_rr_src", "_rr_n"), weights, window, quantum))
     first, end = F.col("_rr_at"), F.col("_rr_at") + F.col("_rr_len")
     seq = F.col("sequence_id")
+    # a document's pieces meet its ids once, as one row per block of them
     cut = (pieces.withColumn("sequence_id", F.explode(F.sequence(F.floor(first / window), F.floor((end - 1) / window))))
            .withColumn("_rr_from", F.greatest(first, seq * window))
-           .select("_rr_uid", "sequence_id",
-                   (F.col("_rr_start") + F.col("_rr_from") - first).alias("start"),
-                   (F.least(end, (seq + 1) * window) - F.col("_rr_from")).alias("length"),
-                   (F.col("_rr_from") - seq * window).alias("offset")))
+           .withColumn("start", F.col("_rr_start") + F.col("_rr_from") - first)
+           .groupBy("_rr_uid", F.floor(F.col("start") / PIECES_SPAN).alias("_rr_span"))
+           .agg(F.collect_list(F.struct("sequence_id", "start", (F.least(end, (seq + 1) * window) - F.col("_rr_from")).alias("length"),
+                                        (F.col("_rr_from") - seq * window).alias("offset"))).alias("_rr_cuts")))
     ids = F.substring(F.col("_rr_ids"), (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return (cut.join(tokens, "_rr_uid")
+    return (cut.join(tokens, "_rr_uid").select("_rr_id", "_rr_src", "_rr_n", "_rr_ids", F.inline("_rr_cuts"))
             .select(F.col("_rr_id").alias(id_col),
                     F.when(F.col("_rr_src") != "~", F.expr("substring(_rr_src, 2)")).alias("source"),
                     "start", "length", ids.alias("ids"), F.col("_rr_n").alias("doc_tokens"), "sequence_id", "offset"))
