@@ -179,3 +179,25 @@ def test_packed_vectors_equal_brute_force(spark, monkeypatch, split):
     assert len(got) == len(want) and any(x.r_target is None for x in got)
     small = rt.pair_features(r, t)
     assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, got), key=repr)
+
+
+def test_pairs_meet_without_exchanging_vectors(spark, monkeypatch):
+    """Over the broadcast bound no row goes to its co-rater, lists of many raters are cut, a null rating counts
+    as under the bound, and a requested user without ratings is no pair."""
+    monkeypatch.setattr(rt, "SPLIT", 3)
+    rows = [(u, m, None if (u, m) in ((1, 2), (4, 2)) else (u * m) % 5 + 1) for u in range(1, 12) for m in range(1, 6) if (u + m) % 3]
+    r = spark.createDataFrame(rows + [(None, 1, 2), (3, None, 1)], "user_id long, movie_id long, rating int")
+    t = spark.createDataFrame([(m, u) for u in range(1, 6) for m in (1, 2)] + [(2, 77)], "movie_id long, user_id long")
+    pairs = spark.createDataFrame([(u, v) for u in range(1, 12) for v in range(1, 12)] + [(1, 1 << 40), (1 << 40, 1), (None, 1)],
+                                  "user_id long, corater_id long")
+    small = [sorted(map(tuple, df.collect()), key=repr) for df in (rt.pair_stats(r, pairs), rt.pair_features(r, t))]
+    spark.conf.set("reelrank.broadcast.maxBytes", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = [rt.pair_stats(r, pairs), rt.pair_features(r, t)]
+        assert [sorted(map(tuple, df.collect()), key=repr) for df in large] == small and all(small)
+        for df in large:
+            assert "hashpartitioning(v" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("reelrank.broadcast.maxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
