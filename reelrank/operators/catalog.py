@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import last_path_segment, strip_leading_zeros
 from ..sources.lines import number_lines
 from .dedupe import occurring_once
+from .joins import materialize
 
 
 def normalise_title(c):
@@ -32,7 +33,10 @@ def title_match(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
              .groupBy("key", "year")
              .agg(F.count(F.lit(1)).alias("n_candidates"),
                   F.array_join(F.array_sort(F.collect_list("imdb_id")), "/").alias("ids")))
+    # titles of one key side by side, also across tasks: their list of ids is long, and then written once a file and not once a row
     t = titles.withColumn("key", normalise_title(F.col("title")))
+    order = ["key", "year", "netflix_id"]
+    t = materialize(t.repartitionByRange(*order).sortWithinPartitions(*order))
     j = t.join(cands, ["key", "year"], "left")
     n = F.coalesce(F.col("n_candidates"), F.lit(0))
     status = (F.when(F.col("malformed"), F.lit("malformed"))

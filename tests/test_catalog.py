@@ -117,3 +117,24 @@ def test_fuzzy_keys_do_not_grow_with_the_title(spark):
     df = spark.createDataFrame([("x" * 30 + "abcdefghij" * n,) for n in (1, 9, 90)], "t string")
     n = [r.n for r in df.select(F.size(ct.probe_segments(F.col("t"), 2)).alias("n")).collect()]
     assert max(n) <= 5 * 3 * 5
+
+
+def test_long_id_lists_are_not_written_once_a_row(spark, tmp_path):
+    """Titles of one key lie together in the files, so their list of ids costs little more than one row's."""
+    from pyspark.sql import functions as F
+
+    from reelrank.sinks import formats as fm
+
+    cat = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).alias("imdb_id"), F.lit(2000).alias("year"),
+                                   F.concat(F.lit("t"), F.col("id") % 100).alias("title"))
+    titles = spark.range(4000).select(F.col("id").cast("string").alias("netflix_id"), F.lit(2000).alias("year"),
+                                      F.concat(F.lit("T"), F.col("id") % 100).alias("title"), F.lit(False).alias("malformed"))
+    m = ct.title_match(titles, cat)
+    assert m.count() == 4000 and m.where("status = 'conflict' and length(imdb_ids) = 40 * 65 - 1").count() == 4000
+    spark.conf.set("spark.sql.files.minPartitionNum", "4")
+    try:
+        fm.write_matches(ct.title_match(titles, cat), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert size < 8 * 100 * 40 * 65   # 4000 rows hold 40 times what the 100 keys do
