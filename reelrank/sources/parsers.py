@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_eol, strip_leading_zeros
 from ..operators.dedupe import last_wins
-from ..operators.joins import fits_broadcast, hint
+from ..operators.joins import fits_broadcast, hint, materialize
 from .lines import carry_forward
 
 
@@ -31,8 +31,8 @@ def rating_lines(lines: DataFrame) -> DataFrame:
     header, ``orphan`` for lines under no header.  A date that doesn't parse is
     NULL (the model discards dates).
     """
-    head = (lines.where(F.col("line_no") == 1)
-            .select("source", F.regexp_replace(F.col("value"), r"[:\r\n]+$", "").alias("movie_id")))
+    head = materialize(lines.where(F.col("line_no") == 1)
+                       .select("source", F.regexp_replace(F.col("value"), r"[:\r\n]+$", "").alias("movie_id")))
     value = strip_eol(F.col("value"))
     parts = F.split(value, ",")
     user, rating = F.get(parts, 0), F.get(parts, 1).try_cast("int")

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import scratch_table_dir
+from ..session import few_folders, scratch_table_dir
 
 #: short: too few fields; extra: too many fields or lines; malformed: a field
 #: that doesn't parse; orphan: a line that no header claims.
@@ -43,7 +43,8 @@ def route(classified: DataFrame, path: str | None = None) -> Routed:
     spark = classified.sparkSession
     path = path or scratch_table_dir(spark, f"routed-{uuid.uuid4().hex}")
     seen = Observation()
-    (classified.observe(seen, *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
-     .write.mode("overwrite").partitionBy("status").parquet(path))
+    counted = classified.observe(seen, *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
+    with few_folders(spark):
+        counted.write.mode("overwrite").option("compression", "zstd").partitionBy("status").parquet(path)
     back = spark.read.schema(classified.schema).parquet(path)
     return Routed(back.where("status = 'ok'").drop("status", "value"), rejects(back), dict(seen.get))

@@ -175,3 +175,30 @@ def test_read_lines_split_file_keeps_order(spark, tmp_dir):
     for f in ("a.txt", "b.txt"):
         with open(os.path.join(p, f)) as fh:
             assert seq[f] == fh.read().splitlines()
+
+
+def test_numbers_go_on_across_partitions_without_a_row_per_source(spark):
+    """Files of one line, a file over all partitions, and rows without a source; columns not kept go."""
+    rows = [("big", i) for i in range(300)] + [(f"s{i}", i) for i in range(200)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "source string, k int").withColumn("x", F.col("k") * 2)
+    out = ln.number_lines(df, ["k"], partitions=7, keep=["k"])
+    assert out.columns == ["source", "k", "line_no"]
+    got = {(r.source, r.k): r.line_no for r in out.collect()}
+    assert got == {**{("big", i): i + 1 for i in range(300)}, **{(f"s{i}", i): 1 for i in range(200)}}
+    spark.conf.set("reelrank.broadcast.maxBytes", "1")  # no broadcast of the sources, and no exchange of the lines either
+    try:
+        out = ln.number_lines(df, ["k"], partitions=7)
+        assert out.count() == 500
+    finally:
+        spark.conf.unset("reelrank.broadcast.maxBytes")
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_folders_gives_the_setting_back(spark):
+    from reelrank.session import few_folders
+
+    conf = "spark.sql.maxConcurrentOutputFileWriters"
+    old = spark.conf.get(conf)
+    with few_folders(spark, 5):
+        assert spark.conf.get(conf) == "5"
+    assert spark.conf.get(conf) == old
