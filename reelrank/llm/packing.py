@@ -16,6 +16,7 @@ per-(source, partition) sums, a piece's place on the tape from per-round-block s
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,20 +34,14 @@ ROUNDS_PER_BLOCK = 64
 BLOCKS_PER_GROUP = 4096
 #: Tokens of a document whose pieces travel as one row.
 PIECES_SPAN = 1 << 20
-#: Bytes of chunks that a worker remembers, each counted with the objects that hold it.
-CACHE_BYTES = 16 << 20
-CHUNK_BYTES = 160
 
 
 class ByteBpe:
     """Token ids of whole texts, equal to those of the ``tokenizers`` file at
     ``path`` with ``add_special_tokens=False``.  ``tiktoken`` does the merges.
 
-    A text is cut at the file's added tokens first, which stand for their ids.
-    What lies between them is cut at spaces; the pre-tokenizer never joins what stands on both
-    sides of a single space unless whitespace follows it, so the ids of a
-    chunk (with its space) can be remembered.  What has whitespace after
-    a space is encoded in one go.
+    A text is cut at the file's added tokens first, which stand for their ids;
+    what lies between them is encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -66,14 +61,14 @@ class ByteBpe:
         ranks = {bytes(of_char[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in added}
         self.encode = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN,
                                         mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.chunks: dict[str, bytes] = {}
-        self.held = 0
         self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
         # the longest of those that begin at one place
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        ids = np.frombuffer(array("I", self.encode(text)), dtype=np.uint32) if text else np.empty(0, np.uint32)
+        return ids.astype("<u4", copy=False).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -87,27 +82,6 @@ class ByteBpe:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
-    def _plain(self, text: str) -> bytes:
-        """The ids of a text without added tokens."""
-        if not text:
-            return b""
-        parts = text.split(" ")
-        head = self._ids(parts[0])
-        out = list(map(self.chunks.get, parts))
-        out[0] = head
-        if None in out:
-            known = self.chunks
-            for i, ids in enumerate(out):
-                if ids is None:
-                    chunk = parts[i]
-                    if not chunk or chunk[0].isspace():
-                        return self._ids(text)
-                    out[i] = ids = known.get(chunk) or self._ids(" " + chunk)
-                    if self.held < CACHE_BYTES and len(chunk) < 64:
-                        known[chunk] = ids
-                        self.held += CHUNK_BYTES + 4 * len(chunk) + len(ids)
-        return b"".join(out)
-
 
 _encoders: dict[str, ByteBpe] = {}
 

@@ -469,3 +469,17 @@ def test_rank_order_against_plain(spark):
             want[i] = (held(i), best, round(1 - dist[best] / (size * len(top)), 9) if top else 0.0)
         got = {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.predict_languages(df, "doc_id", "text", "lang", size).collect()}
         assert got == want
+
+
+def test_tokenizer_remembers_nothing_and_encodes_whole_texts():
+    """One call of the encoder a text without added tokens, whatever chunks it has; nothing is held between texts."""
+    from reelrank.llm import packing
+
+    enc = packing.ByteBpe(packing.default_tokenizer())
+    calls, plain = [], enc.encode
+    enc.encode = lambda t: calls.append(t) or plain(t)
+    texts = ["a new chunk " * 3 + str(i) for i in range(50)]
+    held = {k: len(v) for k, v in vars(enc).items() if hasattr(v, "__len__")}
+    out = [enc(t) for t in texts]
+    assert calls == texts and {k: len(v) for k, v in vars(enc).items() if hasattr(v, "__len__")} == held
+    assert [len(x) // 4 for x in out] == [len(plain(t)) for t in texts]
