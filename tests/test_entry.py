@@ -58,3 +58,25 @@ def test_shuffle_path_equals_broadcast_path(spark, key):
         spark.conf.unset("reelrank.broadcast.maxBytes")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert a == b and len(a) > 0
+
+
+def test_outputs_round_trip_writes_only_what_the_algorithms_read(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from reelrank.plans import file_queries as fq
+
+    n, day = 12, datetime(1995, 1, 1)
+    tables = {
+        "orders": ([(u, u) for u in range(n)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(u, 1 + (u + k) % 3, 1, k, float(1 + 7 * (u + k) % 50), 1.0, day) for u in range(n) for k in range(2)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"),
+        "part": ([(k, 30 + k, f"p{k}") for k in (1, 2, 3)], "p_partkey long, p_size int, p_name string"),
+        "documents": ([(k, "x", "en", "s") for k in (1, 2, 3)], "doc_id long, text string, lang string, source string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    wrote, materialize = [], fq.materialize
+    monkeypatch.setattr(fq, "materialize", lambda df: wrote.append(df.columns) or materialize(df))
+    got = {r.algorithm: (r.n_pred, r.n_test) for r in fq.q_outputs_round_trip(spark, str(tmp_path)).collect()}
+    assert set(got) == {"group_lens", "shw"} and all(n_test == 2 * n for _, n_test in got.values())
+    features = next(c for c in wrote if "corater_id" in c)
+    assert not {"s_uv", "s_uu", "s_vv"} & set(features)
