@@ -100,7 +100,8 @@ def default_tokenizer() -> str:
 
 def tokenize(df: DataFrame, id_col: str, text: str, source: str, tokenizer: str) -> DataFrame:
     """Written table: ``_rr_uid`` (row number, fixed once written), ``_rr_id``,
-    ``_rr_src``, ``_rr_n`` (tokens with the end id) and ``_rr_ids``."""
+    ``_rr_src``, ``_rr_n`` (tokens with the end id) and ``_rr_ids``, of 16 bits each
+    where all ids of the document fit, else of 32."""
     cols = df.select(F.monotonically_increasing_id().alias("_rr_uid"), F.col(id_col).alias("_rr_id"),
                      F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("~")).alias("_rr_src"),
                      F.col(text).cast("string").alias("_rr_text"))
@@ -111,16 +112,31 @@ def tokenize(df: DataFrame, id_col: str, text: str, source: str, tokenizer: str)
         for big in batches:
             for at in range(0, big.num_rows, 64):
                 b = big.slice(at, 64)
-                ids = [encode(t.as_py()) + end for t in b.column(3)]
+                ids = [np.frombuffer(encode(t.as_py()) + end, "<u4") for t in b.column(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), b.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                     pa.array(ids, pa.binary())], names=["_rr_uid", "_rr_id", "_rr_src", "_rr_n", "_rr_ids"])
+                    [b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in ids], pa.int64()),
+                     pa.array([x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids], pa.binary())], names=["_rr_uid", "_rr_id", "_rr_src", "_rr_n", "_rr_ids"])
 
     kind = dict(cols.dtypes)["_rr_id"]
     return C.materialize(cols.mapInArrow(
         run, f"_rr_uid long, _rr_id {kind}, _rr_src string, _rr_n long, _rr_ids binary"))
 
 
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ids`` of 32 bits each; ``length`` says how many a row has."""
+    for b in batches:
+        at = b.schema.get_field_index("ids")
+        ids, n = b.column(at).cast(pa.binary()), b.column("length").to_numpy()
+        offsets = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset:ids.offset + len(ids) + 1]
+        if len(ids) and (np.diff(offsets) == 2 * n).all():
+            data = np.frombuffer(ids.buffers()[2], "<u2", int(n.sum()), int(offsets[0])).astype("<u4")
+            ids = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((offsets - offsets[0]) * 2), pa.py_buffer(data)])
+        else:
+            ids = pa.array([x if len(x) == 4 * k else np.frombuffer(x, "<u2").astype("<u4").tobytes()
+                            for x, k in zip(ids.to_pylist(), n, strict=True)], pa.binary())
+        yield b.set_column(at, "ids", ids)
+
+
 def _schedule(docs: DataFrame, weights: dict | None, window: int, quantum: int) -> DataFrame:
     """Pieces of documents by round: ``_rr_uid, _rr_src, _rr_r, _rr_pos``
     (place in the source), ``_rr_start``, ``_rr_len``."""
@@ -203,8 +219,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
            .groupBy("_rr_uid", F.floor(F.col("start") / PIECES_SPAN).alias("_rr_span"))
            .agg(F.collect_list(F.struct("sequence_id", "start", (F.least(end, (seq + 1) * window) - F.col("_rr_from")).alias("length"),
                                         (F.col("_rr_from") - seq * window).alias("offset"))).alias("_rr_cuts")))
-    ids = F.substring(F.col("_rr_ids"), (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return (cut.join(tokens, "_rr_uid").select("_rr_id", "_rr_src", "_rr_n", "_rr_ids", F.inline("_rr_cuts"))
-            .select(F.col("_rr_id").alias(id_col),
-                    F.when(F.col("_rr_src") != "~", F.expr("substring(_rr_src, 2)")).alias("source"),
-                    "start", "length", ids.alias("ids"), F.col("_rr_n").alias("doc_tokens"), "sequence_id", "offset"))
+    # the ids travel narrow, the slices are widened last
+    width = F.floor(F.octet_length("_rr_ids") / F.col("_rr_n"))
+    ids = F.substring(F.col("_rr_ids"), (F.col("start") * width + 1).cast("int"), (F.col("length") * width).cast("int"))
+    out = (cut.join(tokens, "_rr_uid").select("_rr_id", "_rr_src", "_rr_n", "_rr_ids", F.inline("_rr_cuts"))
+           .select(F.col("_rr_id").alias(id_col),
+                   F.when(F.col("_rr_src") != "~", F.expr("substring(_rr_src, 2)")).alias("source"),
+                   "start", "length", ids.alias("ids"), F.col("_rr_n").alias("doc_tokens"), "sequence_id", "offset"))
+    return out.mapInArrow(_widen, out.schema)

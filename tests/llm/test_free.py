@@ -483,3 +483,24 @@ def test_tokenizer_remembers_nothing_and_encodes_whole_texts():
     out = [enc(t) for t in texts]
     assert calls == texts and {k: len(v) for k, v in vars(enc).items() if hasattr(v, "__len__")} == held
     assert [len(x) // 4 for x in out] == [len(plain(t)) for t in texts]
+
+
+def test_packed_ids_travel_in_16_bits_and_come_back_in_32(spark):
+    import pyarrow as pa
+
+    df = spark.createDataFrame([(1, "some words of a text", "a"), (2, None, "a"), (3, "more " * 3000, None)], "doc_id long, text string, source string")
+    tokens = packing.tokenize(df, "doc_id", "text", "source", packing.default_tokenizer())
+    assert all(len(r["_rr_ids"]) == 2 * r["_rr_n"] for r in tokens.collect())
+    enc = packing.ByteBpe(packing.default_tokenizer())
+    got = {}
+    for r in sorted(packing.pack(df).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == 4 * r.length
+        got[r.doc_id] = got.get(r.doc_id, b"") + r.ids
+    assert got == {r.doc_id: enc(r.text) + np.array([1], "<u4").tobytes() for r in df.collect()}
+    # an id beyond 16 bits keeps its document's ids at 32, also beside narrow ones and in a slice of a batch
+    wide, narrow = np.array([70000, 5, 1], "<u4"), np.array([9, 65535], "<u2")
+    b = pa.RecordBatch.from_arrays([pa.array([2, 3, 2, 2]), pa.array([narrow.tobytes(), wide.tobytes(), narrow.tobytes(), narrow.tobytes()], pa.binary())],
+                                   names=["length", "ids"])
+    for part in (b, b.slice(2, 2), b.slice(0, 0)):
+        out = [x for o in packing._widen([part]) for x in o.column("ids").to_pylist()]
+        assert out == [x if len(x) == 12 else narrow.astype("<u4").tobytes() for x in part.column("ids").to_pylist()]
