@@ -196,3 +196,37 @@ def test_short_lines_against_brute_force(spark):
     assert {len(x) for _, x in docs} <= set(range(9, 21))
     out = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
     assert {(r.doc_id, 0) for r in out} == _brute(docs)
+
+
+def test_filter_of_hashes_lets_few_others_pass(spark):
+    """Many more hashes than one slot each could tell apart: what passes is the wanted ones and few others."""
+    rows = spark.range(400000).select(F.xxhash64("id").alias("h"), "id")
+    wanted = rows.where("id < 100000").select(F.col("h").alias("w"))
+    got = linededup.only_hashes(rows, "h", wanted, "w")
+    assert got.where("id < 100000").count() == 100000
+    # one bit in 2**25 each; with 2**20 slots some 27,000 others pass
+    assert got.where("id >= 100000").count() < 3000
+
+
+def test_near_copies_meet_a_few_members_before_all_pairs(spark, monkeypatch):
+    """A large bucket of near copies: few pairs are left after its pivots, and the components are those of all pairs."""
+    import random
+
+    rng = random.Random(5)
+    base = [rng.choice("etaoin") + "".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    lines = []
+    for _ in range(200):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(60)] = f"x{rng.randrange(10 ** 6)}"
+        lines.append(" ".join(words))
+    docs = list(enumerate(lines))
+    left, plain = [], linededup._open_pairs
+    monkeypatch.setattr(linededup, "_open_pairs", lambda *a: left.append(plain(*a)) or left[-1])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = linededup.lines_of(df, "doc_id", "text")
+    with_pivots = {tuple(r) for r in linededup.line_components(found).collect()}
+    monkeypatch.setattr(linededup, "TURNS", 0)
+    assert with_pivots == {tuple(r) for r in linededup.line_components(found).collect()}
+    some, every = (x.count() for x in left)
+    assert some < every / 2, (some, every)
