@@ -230,3 +230,19 @@ def test_near_copies_meet_a_few_members_before_all_pairs(spark, monkeypatch):
     assert with_pivots == {tuple(r) for r in linededup.line_components(found).collect()}
     some, every = (x.count() for x in left)
     assert 0 < every and some < 0.75 * every, (some, every)
+
+
+def test_bit_sets_are_written_for_members_of_busy_centres_only(spark, monkeypatch):
+    """Of 200 members only those of a centre with an unlinked one and two components keep their bit sets."""
+    words = [f"_rr_{k}{w}" for k in "dm" for w in range(linededup.WORDS)]
+    star = [(1000 + i, i // 4, 0.9 if i % 4 or i < 100 else 0.5) for i in range(200)]
+    # the members of centres below 40 are one component each, of the others each is its own
+    roots = [(h, c) for h, c, _ in star if c < 40]
+    df = spark.createDataFrame(star, "_rr_h long, _rr_center long, j double").select(
+        "*", *[F.lit(5).cast("long").alias(c) for c in words], F.lit(9).alias("_rr_i"), F.lit(10).alias("_rr_n"))
+    written, plain = [], linededup.C.materialize
+    monkeypatch.setattr(linededup.C, "materialize", lambda d: written.append(plain(d)) or written[-1])
+    busy = linededup._busy(df, spark.createDataFrame(roots, "node long, root long"), 0.8)
+    got = {(r["_rr_h"], r["_rr_center"], r["root"], r["j"], r["_rr_nb"], r["_rr_d0"]) for r in busy.collect()}
+    assert got == {(h, c, h, j, 1, 5) for h, c, j in star if c >= 40}
+    assert all(d.count() <= 40 for d in written if "_rr_d0" in d.columns)
