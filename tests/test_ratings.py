@@ -201,3 +201,31 @@ def test_pairs_meet_without_exchanging_vectors(spark, monkeypatch):
     finally:
         spark.conf.unset("reelrank.broadcast.maxBytes")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_two_raters_meet_once(spark, monkeypatch):
+    """For requested pairs a movie's list goes to its earlier raters alone, for features with the votes in the user ids;
+    nothing is exchanged again to be summed, and large ids are not packed."""
+    import re
+
+    monkeypatch.setattr(rt, "SPLIT", 4)
+    rows = [(u, m, None if (u * m) % 11 == 5 else (u * m) % 5 - 1) for u in range(-3, 12) for m in range(1, 6) if (u + 2 * m) % 4]
+    pairs = spark.createDataFrame([(u, v) for u in range(-3, 9) for v in range(0, 12) if (u + v) % 3], "user_id long, corater_id long")
+    for shift in (0, 1 << 61):
+        r = spark.createDataFrame([(u + shift, m, x) for u, m, x in rows], "user_id long, movie_id long, rating int")
+        p = pairs.select(*((F.col(c) + shift).alias(c) for c in pairs.columns))
+        t = r.where("movie_id < 3").select("movie_id", "user_id")
+        small = [sorted(map(tuple, df.collect()), key=repr) for df in (rt.pair_stats(r, p), rt.pair_features(r, t))]
+        spark.conf.set("reelrank.broadcast.maxBytes", "0")
+        try:
+            large = [rt.pair_stats(r, p), rt.pair_features(r, t)]
+            assert [sorted(map(tuple, df.collect()), key=repr) for df in large] == small and all(small)
+            for df in large:
+                assert not re.search(r"hashpartitioning\(u#\d+L?, v#", df._jdf.queryExecution().executedPlan().toString())
+            cells = r.withColumn("requested", F.lit(True))
+            both = r.alias("a").join(r.alias("b"), "movie_id").where("a.user_id <> b.user_id").count()
+            assert 2 * rt.meet_raters(cells, ("rating",)).count() == both
+            packed, apart = rt._with_votes(r)
+            assert (apart is None) == (shift > 0) and ("rating" in packed.columns) == (shift > 0)
+        finally:
+            spark.conf.unset("reelrank.broadcast.maxBytes")
